@@ -16,6 +16,7 @@ import itertools
 import json
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -113,16 +114,16 @@ class KeyTable:
             todo, slot = todo[~won], (slot[~won] + 1) & self.mask
 
 
-class PieceEncoder:
-    """Encodes string arrays; keeps what it has learned about pieces for the life of the worker."""
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lists one after another, and their lengths."""
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(lengths.sum())), lengths
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.folds = json.loads(self.tokenizer.to_str())["normalizer"] is not None  # lower case, white space dropped
+class PieceCache:
+    """What a worker has learned about pieces: the ids of each, under its key."""
+
+    def __init__(self):
         self._clear()
 
     def _clear(self) -> None:
@@ -131,7 +132,53 @@ class PieceEncoder:
         self.bounds = np.zeros(1 << 16, np.int64)  # of piece i: bounds[i] to bounds[i + 1]
         self.count = 0
 
-    def _lists(self, pieces: list[bytes]) -> list[list[int]]:
+    def _append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        begin = int(self.bounds[self.count])
+        need, more = begin + len(ids), self.count + len(lengths) + 1
+        while need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while more > len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        self.ids[begin:need] = ids
+        self.bounds[self.count + 1 : more] = begin + np.cumsum(lengths)
+        self.count += len(lengths)
+
+    def ids_of(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray, learn: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces one after another, and the n + 1 offsets of the pieces in them.
+
+        `learn` gives the ids of new pieces one after another and how many each has, from their bytes and keys.
+        """
+        if self.count > CACHE_PIECES:
+            self._clear()
+        place = self.known.find(keys)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new, first, where = np.unique(keys[missing], return_index=True, return_inverse=True)
+            which = missing[first]
+            data, at, size = raw.tobytes(), starts[which].tolist(), lengths[which]
+            row = np.arange(self.count, self.count + len(new))
+            self._append(*learn([data[a : a + n] for a, n in zip(at, size.tolist(), strict=True)], new))
+            place[missing] = row[where]
+            keep = (size <= CACHE_BYTES) & (row < 3 * CACHE_PIECES)
+            self.known.add(new[keep], row[keep])
+        begin = self.bounds[place]
+        lengths = self.bounds[place + 1] - begin
+        return self.ids[ranges(begin, lengths)], np.concatenate([[0], np.cumsum(lengths)])
+
+
+class PieceEncoder(PieceCache):
+    """Encodes string arrays; keeps what it has learned about pieces for the life of the worker."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.folds = json.loads(self.tokenizer.to_str())["normalizer"] is not None  # lower case, white space dropped
+
+    def _learn(self, pieces: list[bytes], _keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         merge, folds, word_of = self.tokenizer.model.tokenize, self.folds, _WORD.fullmatch
         lists: list[list[int]] = []
         rest: list[int] = []
@@ -147,19 +194,7 @@ class PieceEncoder:
                 rest.append(k)
         for k, x in zip(rest, self.tokenizer.encode_batch([texts[k] for k in rest], add_special_tokens=False), strict=True):
             lists[k] = x.ids
-        return lists
-
-    def _append(self, lists: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        begin = int(self.bounds[self.count])
-        need, more = begin + int(lengths.sum()), self.count + len(lists) + 1
-        while need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while more > len(self.bounds):
-            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        self.ids[begin:need] = np.fromiter(itertools.chain.from_iterable(lists), np.int32, need - begin)
-        self.bounds[self.count + 1 : more] = begin + np.cumsum(lengths)
-        self.count += len(lists)
+        return flat(lists)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another (int32), and the n + 1 offsets of the texts in them; null counts as empty."""
@@ -168,23 +203,8 @@ class PieceEncoder:
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         lengths = np.diff(starts, append=len(raw))
-        keys = piece_keys(raw, starts, lengths)
-        if self.count > CACHE_PIECES:
-            self._clear()
-        place = self.known.find(keys)
-        missing = np.flatnonzero(place < 0)
-        if len(missing):
-            new, first, where = np.unique(keys[missing], return_index=True, return_inverse=True)
-            data, at, size = raw.tobytes(), starts[missing[first]].tolist(), lengths[missing[first]]
-            row = np.arange(self.count, self.count + len(new))
-            self._append(self._lists([data[a : a + n] for a, n in zip(at, size.tolist(), strict=True)]))
-            place[missing] = row[where]
-            keep = (size <= CACHE_BYTES) & (row < 3 * CACHE_PIECES)
-            self.known.add(new[keep], row[keep])
-        begin = self.bounds[place]
-        lengths = self.bounds[place + 1] - begin
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        return self.ids[ranges(begin, lengths)], total[np.searchsorted(starts, offsets)]
+        ids, bounds = self.ids_of(raw, starts, lengths, piece_keys(raw, starts, lengths), self._learn)
+        return ids, bounds[np.searchsorted(starts, offsets)]
 
 
 @functools.lru_cache(maxsize=4)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from driftwood.llm import packing
+from driftwood.llm import dac, merge_dropout, packing, separators
 
 QUERIES = {
+    "op3_separator_scan": separators.op3_separator_scan,
     "op4_packing": packing.op4_packing,
+    "op6_merge_dropout": merge_dropout.op6_merge_dropout,
+    "op10_dac": dac.op10_dac,
 }
 
 ORACLE_SQL: dict[str, str] = {}
