@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from driftwood.llm import dac, merge_dropout, packing, separators
+from driftwood.llm import dac, language_id, merge_dropout, packing, secret_scan, separators
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
     "op3_separator_scan": separators.op3_separator_scan,
     "op4_packing": packing.op4_packing,
     "op6_merge_dropout": merge_dropout.op6_merge_dropout,
+    "op9_language_id": language_id.op9_language_id,
     "op10_dac": dac.op10_dac,
 }
 

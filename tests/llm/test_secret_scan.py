@@ -1,0 +1,68 @@
+import hashlib
+import itertools
+import re
+
+import numpy as np
+import pyarrow as pa
+
+from driftwood.llm import secret_scan as ss
+
+
+def test_base_spans():
+    text = "a token = 'abcdefghijkl' TOKEN=short AKIA" + "A1" * 7 + " and " + "0f" * 8 + " AKIAAAA token=api_key: abcdefghijklmnop"
+    got = [(ss.KINDS[s.kind], text[s.start : s.end]) for s in ss.base_spans(text)]
+    assert got == [("assign", "token = 'abcdefghijkl"), ("access", "AKIA" + "A1" * 7), ("hex", "0f" * 8)]
+    assert ss.base_spans("ſecret=abcdefghijklmn to\u212aen=abcdefghijklmn") == []
+
+
+def test_viterbi_is_the_best_of_all_taggings():
+    m = ss.model()
+    for text in ("token = a1b2c3d4e5f6", "password is hunter22 Zx9", "x Bearer abcDEF123456 q7w8e9r0t1", "key: k=v 12345678 pass"):
+        seq = ss.sequence(text)
+        n, hop = len(seq.spans), m.move + ss._FORBID
+        emit = np.full((n, 3), -1e4)
+        emit[:, 0] = 0
+        for i, names in zip(seq.free, seq.features, strict=True):
+            emit[i] = m.emit[[m.index[x] for x in names if x in m.index]].sum(axis=0)
+        # moves between two tokens that are surely O change nothing
+        free = set(seq.free)
+
+        def score(tags, n=n, hop=hop, emit=emit, free=free):
+            total, before = 0.0, 0
+            for i, t in enumerate(tags):
+                total += emit[i, t] + (hop[before, t] if i in free or (i - 1) in free else 0)
+                before = t
+            return total
+
+        choices = [range(3) if i in free else (0,) for i in range(n)]
+        best = max(itertools.product(*choices), key=score)
+        assert [best[i] for i in seq.free] == ss.viterbi(seq, m)
+
+
+def test_field_on_held_out_lines():
+    m, right, wrong, missed = ss.model(), 0, 0, 0
+    for text, secrets in ss.training_lines(150, seed=99):
+        got = {(s.start, s.end) for s in ss.field_spans(text, m)}
+        right, wrong, missed = right + len(got & set(secrets)), wrong + len(got - set(secrets)), missed + len(set(secrets) - got)
+    assert right / (right + wrong) > 0.85 and right / (right + missed) > 0.85
+
+
+def test_texts_that_are_not_suspect_hold_nothing():
+    m = ss.model()
+    texts = [t for t, _ in ss.training_lines(100, seed=5)] + ["", "plain words only", None, "été 1234567", "a" * 7 + "1", "b" * 20, "tail1", "234567 next"]
+    may = ss.suspects(pa.array(texts, pa.string()))
+    assert all(may[k] or not ss.all_spans(t or "", m) for k, t in enumerate(texts))
+    assert not may[texts.index("plain words only")]
+
+
+def test_scan_and_redact(spark):
+    rows = [(1, 'x token = "' + "ab12" * 10 + '" y', "s"), (2, None, None), (None, "AKIA" + "Z9" * 8, "s"), (4, "plain", "s"), (4, "plain", "s"), (5, "é" * 50_000 + " " + "0f" * 20, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string").repartition(2)
+    got = sorted(ss.scan(docs).collect(), key=lambda r: (r.doc_id or 0, r.spans))
+    assert [(r.doc_id, r.n_assign, r.n_access, r.n_hex) for r in got] == [(None, 0, 1, 0), (1, 1, 0, 1), (2, 0, 0, 0), (4, 0, 0, 0), (4, 0, 0, 0), (5, 0, 0, 1)]
+    for r in got:
+        base = ",".join(x for x in r.spans.split(",") if re.match("assign|access|hex", x))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    clean = {(r.doc_id, r.text) for r in ss.redact(docs).collect()}
+    assert (1, 'x token = "[SECRET]" y') in clean and (4, "plain") in clean and (2, None) in clean and (None, "[SECRET]") in clean
+    assert ss.scan(docs.limit(0)).count() == 0
