@@ -116,21 +116,20 @@ def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_deleted", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
-#: Windows of up to MIN_WORDS lines, as lists of their texts.
+#: Windows of up to MIN_WORDS lines, as lists of their texts' digests.
+_WINDOW = "SELECT doc_id, idx, {n} AS n, list(md5(line)) OVER w AS run, sum(nw) OVER w AS words FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND {m} FOLLOWING)"
 ORACLE_SQL = """
 WITH raw AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 every AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS spot FROM raw),
 full_lines AS (SELECT doc_id, spot, line, row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS idx,
     len(list_filter(regexp_split_to_array(line, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS nw
   FROM every WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-windows AS (SELECT a.doc_id, a.idx, n, (SELECT list(b.line ORDER BY b.idx) FROM full_lines b WHERE b.doc_id = a.doc_id AND b.idx BETWEEN a.idx AND a.idx + n - 1) AS run,
-    (SELECT sum(b.nw) FROM full_lines b WHERE b.doc_id = a.doc_id AND b.idx BETWEEN a.idx AND a.idx + n - 1) AS words
-  FROM full_lines a, (SELECT unnest(range(1, 11)) AS n)),
-firsts AS (SELECT *, min((doc_id, idx)) OVER (PARTITION BY run) AS first FROM windows WHERE len(run) = n AND words >= 10),
-gone AS (SELECT DISTINCT f.doc_id, f.idx + k AS idx FROM firsts f, (SELECT unnest(range(10)) AS k) WHERE k < f.n AND f.first < (f.doc_id, f.idx)),
+windows AS ({windows}),
+firsts AS (SELECT *, min((doc_id, idx)) OVER (PARTITION BY run) AS first FROM windows WHERE len(run) = n AND words >= {least}),
+gone AS (SELECT DISTINCT f.doc_id, f.idx + k AS idx FROM firsts f, (SELECT unnest(range({least})) AS k) WHERE k < f.n AND f.first < (f.doc_id, f.idx)),
 marked AS (SELECT e.doc_id, e.spot, e.line, f.idx IS NOT NULL AS is_full, g.idx IS NOT NULL AS is_gone FROM every e
   LEFT JOIN full_lines f ON f.doc_id = e.doc_id AND f.spot = e.spot LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.idx = f.idx)
 SELECT doc_id, CAST(sum(CAST(is_full AS INT)) AS BIGINT) AS n_lines, CAST(sum(CAST(is_gone AS INT)) AS BIGINT) AS n_deleted,
   md5(coalesce(string_agg(CASE WHEN is_gone THEN NULL ELSE line END, chr(10) ORDER BY spot), '')) AS text_md5
 FROM marked GROUP BY doc_id
-"""
+""".replace("{windows}", " UNION ALL ".join(_WINDOW.format(n=n, m=n - 1) for n in range(1, MIN_WORDS + 1))).replace("{least}", str(MIN_WORDS))
