@@ -138,8 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """Rules from the labelled documents that pass the base test. Labels that are null tell nothing; of several for a document
     the lowest counts. Without labels there are no rules."""
     chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    known = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).where("not base_failed")  # max_labelled rows
-    rows = known.select("doc_id", "quality", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(max_labelled).collect()
+    known = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # max_labelled rows
+    # base_failed is looked at here: as a filter it would be pushed below the statistics and compute them over and over
+    rows = known.select("doc_id", "quality", "base_failed", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(max_labelled).collect()
+    rows = [r for r in rows if not r.base_failed]
     return learn([[r[f] for f in FEATURES] for r in rows], [r.quality == 0 for r in rows])
 
 
