@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from driftwood.llm import dac, language_id, line_dedup, merge_dropout, near_dup, packing, quality_rules, secret_scan, separators
+from driftwood.llm import dac, language_id, line_dedup, merge_dropout, near_dup, packing, quality_rules, secret_scan, separators, vector_search
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op2_kmeans_tree": vector_search.op2_kmeans_tree,
     "op3_separator_scan": separators.op3_separator_scan,
     "op4_packing": packing.op4_packing,
     "op5_decision_list": quality_rules.op5_decision_list,
