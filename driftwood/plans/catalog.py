@@ -1,15 +1,66 @@
-"""Names every query and its SQL twin."""
+"""Names every query and its SQL twin: an operator, the series view it reads, and its configuration."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from driftwood.operators import distributions as dist
+from driftwood.plans.dialect import DUCK, SPARK, joined
+from driftwood.sources import views
 
-def oracle_sql():
-    return {}
 
+class Entry(NamedTuple):
+    operator: Callable[..., DataFrame]
+    view: Callable
+    config: dict = {}
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.operator(series(spark, sf_dir, self.view), **self.config)
+
+    def twin(self) -> str | None:
+        if not hasattr(self.operator, "sql"):
+            return None
+        return joined(f"src AS ({self.view(DUCK)})", self.operator.sql(DUCK, "src", **self.config))
+
+
+def series(spark: SparkSession, sf_dir: str, view: Callable) -> DataFrame:
+    """A series view over the tables in a directory."""
+    return spark.sql(view(SPARK), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in views.TABLES[view]})
+
+
+ENTRIES: dict[str, Entry] = {
+    "series_statistics": Entry(dist.series_statistics, views.by_type),
+    "chi_squared_test": Entry(dist.chi_squared_test, views.by_type),
+    "chi_squared_bins": Entry(dist.chi_squared_bins, views.by_type),
+    "partition_balance": Entry(dist.partition_balance, views.whole, {"partitions": 4}),
+    "parity_test": Entry(dist.parity_test, views.whole),
+    "digit_parity": Entry(dist.digit_parity, views.whole),
+    "parity_runs": Entry(dist.parity_runs, views.whole),
+    "finite_field": Entry(dist.finite_field, views.whole),
+    "finite_field_orders": Entry(dist.finite_field_orders, views.whole),
+    "quadratic_residues": Entry(dist.quadratic_residues, views.whole),
+    "qr_patterns": Entry(dist.qr_patterns, views.whole),
+    "qr_run_lengths": Entry(dist.qr_run_lengths, views.whole),
+    "shannon_entropy": Entry(dist.shannon_entropy, views.by_type),
+    "shannon_entropy_discrete": Entry(dist.shannon_entropy, views.by_type, {"discrete": True}),
+    "mutual_information": Entry(dist.mutual_information, views.pairs),
+    "dirichlet_posterior": Entry(dist.dirichlet_posterior, views.categories),
+    "dirichlet_log_evidence": Entry(dist.dirichlet_log_evidence, views.categories),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: e.frame for name, e in ENTRIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, e in ENTRIES.items() if (sql := e.twin())}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chi-squared test and entropy of each event type's series, side by side."""
+    by_type = series(spark, sf_dir, views.by_type)
+    return dist.chi_squared_test(by_type).join(dist.shannon_entropy(by_type).select("series_id", "entropy", "normalized_entropy"), "series_id")
