@@ -8,6 +8,10 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from driftwood.operators import distributions as dist
+from driftwood.operators import geometry as geo
+from driftwood.operators import networks as net
+from driftwood.operators import order_statistics as order
+from driftwood.operators import windows as win
 from driftwood.plans.dialect import DUCK, SPARK, joined
 from driftwood.sources import views
 
@@ -49,6 +53,51 @@ ENTRIES: dict[str, Entry] = {
     "mutual_information": Entry(dist.mutual_information, views.pairs),
     "dirichlet_posterior": Entry(dist.dirichlet_posterior, views.categories),
     "dirichlet_log_evidence": Entry(dist.dirichlet_log_evidence, views.categories),
+    "acf": Entry(win.acf, views.by_type),
+    "ljung_box": Entry(win.ljung_box, views.by_type),
+    "mixing_coefficient": Entry(win.mixing_coefficient, views.by_type),
+    "mixing_summary": Entry(win.mixing_summary, views.by_type),
+    "birkhoff_ratio": Entry(win.birkhoff_ratio, views.by_type),
+    "birkhoff_multiscale": Entry(win.birkhoff_multiscale, views.by_type),
+    "birkhoff_convergence": Entry(win.birkhoff_convergence, views.daily),
+    "dfa_fluctuation": Entry(win.dfa_fluctuation, views.daily),
+    "dfa_hurst": Entry(win.dfa_hurst, views.daily),
+    "delay_embedding": Entry(win.delay_embedding, views.by_user),
+    "ami_curve": Entry(win.ami_curve, views.by_type),
+    "ami_first_minimum": Entry(win.ami_first_minimum, views.by_type),
+    "ks_test": Entry(order.ks_test, views.by_type),
+    "ks_test_greater": Entry(order.ks_test, views.by_type, {"alternative": "greater"}),
+    "ks_test_less": Entry(order.ks_test, views.by_type, {"alternative": "less"}),
+    "anderson_darling_normal": Entry(order.anderson_darling, views.by_type),
+    "anderson_darling_exponential": Entry(order.anderson_darling, views.by_type, {"distribution": "exponential", "rate": 0.02}),
+    "anderson_darling_uniform": Entry(order.anderson_darling, views.by_type, {"distribution": "uniform"}),
+    "anderson_darling_uniform_std": Entry(order.anderson_darling, views.by_type, {"distribution": "uniform", "clamp": 1e-12}),
+    "zscore": Entry(order.zscore, views.by_type),
+    "zscore_modified": Entry(order.zscore, views.by_type, {"modified": True}),
+    "zscore_values": Entry(order.zscore_values, views.by_user),
+    "zscore_outliers": Entry(order.zscore_outliers, views.by_type),
+    "shapiro_wilk": Entry(order.shapiro_wilk, views.by_type),
+    "shapiro_order_stats": Entry(order.shapiro_order_stats, views.by_type),
+    "box_cox": Entry(order.box_cox, views.by_type),
+    "lyapunov_neighbors": Entry(geo.lyapunov_neighbors, views.by_user_short),
+    "lyapunov_divergence": Entry(geo.lyapunov_divergence, views.by_user_short),
+    "lyapunov_exponent": Entry(geo.lyapunov_exponent, views.hourly),
+    "correlation_curve": Entry(geo.correlation_curve, views.hourly),
+    "correlation_dimension": Entry(geo.correlation_dimension, views.hourly),
+    "fnn_fraction": Entry(geo.fnn_fraction, views.by_user_short),
+    "planar_edges_filtration": Entry(geo.filtration_edges, views.by_user_short),
+    "vietoris_rips": Entry(geo.vietoris_rips, views.by_user_short, {"steps": 30}),
+    "nvg_edges": Entry(net.graph_edges, views.by_user_short, {"kind": "natural"}),
+    "hvg_edges": Entry(net.graph_edges, views.by_user_short, {"kind": "horizontal"}),
+    "visibility_degrees": Entry(net.degree_distribution, views.by_user_short),
+    "visibility_metrics": Entry(net.graph_metrics, views.by_user_short),
+    "hvg_metrics": Entry(net.graph_metrics, views.by_user_short, {"kind": "horizontal"}),
+    "centrality_degree": Entry(net.centrality_degree, views.by_user),
+    "top_nodes": Entry(net.top_nodes, views.by_user),
+    "triangles": Entry(net.triangles, views.by_user),
+    "clustering_distribution": Entry(net.clustering_distribution, views.by_user),
+    "clustering_coefficients": Entry(net.clustering_coefficients, views.by_user),
+    "modularity": Entry(net.modularity, views.by_user),
 }
 
 
