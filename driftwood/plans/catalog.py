@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from driftwood.operators import distributions as dist
 from driftwood.operators import geometry as geo
 from driftwood.operators import networks as net
+from driftwood.operators import numeric as num
 from driftwood.operators import order_statistics as order
 from driftwood.operators import windows as win
+from driftwood.plans import twins
 from driftwood.plans.dialect import DUCK, SPARK, joined
 from driftwood.sources import views
 
@@ -20,14 +22,16 @@ class Entry(NamedTuple):
     operator: Callable[..., DataFrame]
     view: Callable
     config: dict = {}
+    text: str | None = None  # the twin of an operator that isn't SQL itself
+    columns: tuple[str, ...] = ()  # those that the twin has, if not all
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.operator(series(spark, sf_dir, self.view), **self.config)
+        out = self.operator(series(spark, sf_dir, self.view), **self.config)
+        return out.select(*self.columns) if self.columns else out
 
     def twin(self) -> str | None:
-        if not hasattr(self.operator, "sql"):
-            return None
-        return joined(f"src AS ({self.view(DUCK)})", self.operator.sql(DUCK, "src", **self.config))
+        text = self.operator.sql(DUCK, "src", **self.config) if hasattr(self.operator, "sql") else self.text
+        return text and joined(f"src AS ({self.view(DUCK)})", text)
 
 
 def series(spark: SparkSession, sf_dir: str, view: Callable) -> DataFrame:
@@ -98,6 +102,30 @@ ENTRIES: dict[str, Entry] = {
     "clustering_distribution": Entry(net.clustering_distribution, views.by_user),
     "clustering_coefficients": Entry(net.clustering_coefficients, views.by_user),
     "modularity": Entry(net.modularity, views.by_user),
+    "fft_spectrum": Entry(num.fft_spectrum, views.hourly, {}, twins.fft_power(), ("series_id", "k", "frequency", "magnitude", "power")),
+    "fft_phase": Entry(num.fft_spectrum, views.by_user_short),
+    "fft_features": Entry(num.fft_features, views.by_user_short, {}, twins.fft_features()),
+    "psd_welch": Entry(num.psd_welch, views.hourly, {}, twins.psd_welch()),
+    "periodogram": Entry(num.periodogram, views.by_user_short),
+    "psd_bands": Entry(num.psd_bands, views.hourly),
+    "coherence": Entry(num.coherence, views.pairs_long, {}, twins.coherence()),
+    "coherence_summary": Entry(num.coherence_summary, views.pairs_long),
+    "density_matrix": Entry(num.density_matrix, views.by_user_short, {}, twins.density_matrix(), ("series_id", "n", "purity", "participation_ratio")),
+    "density_matrix_embedded": Entry(num.density_matrix, views.by_user_short, {"dim": 3, "stride": 2}),
+    "von_neumann_entropy": Entry(num.von_neumann_entropy, views.by_user_short, {}, twins.von_neumann_entropy(), ("series_id", "n", "von_neumann_entropy")),
+    "integrated_information": Entry(num.integrated_information, views.by_user_short),
+    "kolmogorov_complexity": Entry(num.kolmogorov_complexity, views.by_user),
+    "compression_distance": Entry(num.compression_distance, views.pairs_long),
+    "dfa_quadratic": Entry(num.dfa_polynomial, views.daily, {"order": 2}),
+    "dfa_cubic": Entry(num.dfa_polynomial, views.daily, {"order": 3}),
+    "graph_paths": Entry(num.graph_paths, views.by_user_short),
+    "centralities": Entry(num.centralities, views.by_user_short),
+    "label_propagation": Entry(num.label_propagation, views.by_user),
+    "small_world": Entry(num.small_world, views.by_user_short, {"graphs": 3}),
+    "persistence": Entry(num.persistence, views.by_user_short),
+    "betti_curve": Entry(num.betti_curve, views.by_user_short),
+    "dirichlet_credible": Entry(num.dirichlet_credible, views.categories),
+    "metropolis_hastings": Entry(num.metropolis_hastings, views.by_type, {"iterations": 4000}),
 }
 
 

@@ -39,10 +39,15 @@ def categories(d: Spark) -> str:
 
 def pairs(d: Spark) -> str:
     """Two event types' series, paired by position as far as both go."""
-    return f"""SELECT 'click/view' AS series_id, a.pos, a.value AS x, b.value AS y FROM (SELECT * FROM ({by_type(d)}) s WHERE series_id = (SELECT min(event_type) FROM {d.table('events')})) a
+    return f"""SELECT 'first/last type' AS series_id, a.pos, a.value AS x, b.value AS y FROM (SELECT * FROM ({by_type(d)}) s WHERE series_id = (SELECT min(event_type) FROM {d.table('events')})) a
 JOIN (SELECT * FROM ({by_type(d)}) s WHERE series_id = (SELECT max(event_type) FROM {d.table('events')})) b ON a.pos = b.pos"""
 
 
+def pairs_long(d: Spark) -> str:
+    """Each value of the hourly series with the one a day before: long enough for segments at every scale."""
+    return f"SELECT a.series_id, a.pos - 24 AS pos, a.value AS x, b.value AS y FROM ({hourly(d)}) a JOIN ({hourly(d)}) b ON b.pos = a.pos - 24"
+
+
 def draws(d: Spark) -> str:
     """Orders of five lines as draws of five numbers from 1 to 50: (draw, pos, number), numbers ascending within a draw."""
     lines = f"SELECT l_orderkey, count(*) AS n FROM {d.table('lineitem')} GROUP BY l_orderkey"
@@ -51,4 +56,4 @@ def draws(d: Spark) -> str:
 
 
 #: The tables that each view reads.
-TABLES = {by_type: ["events"], by_user: ["events"], by_user_short: ["events"], hourly: ["events"], daily: ["lineitem"], whole: ["events"], categories: ["events"], pairs: ["events"], draws: ["orders", "lineitem"]}
+TABLES = {by_type: ["events"], by_user: ["events"], by_user_short: ["events"], hourly: ["events"], daily: ["lineitem"], whole: ["events"], categories: ["events"], pairs: ["events"], pairs_long: ["events"], draws: ["orders", "lineitem"]}
