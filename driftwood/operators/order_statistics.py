@@ -150,4 +150,4 @@ c AS (SELECT series_id, pow_, y - avg(y) OVER (PARTITION BY series_id, pow_) AS
 m AS (SELECT series_id, pow_, count(*) AS n, avg(y * y) AS m2, avg(y * y * y) AS m3, avg(y * y * y * y) AS m4 FROM c GROUP BY series_id, pow_),
 score AS (SELECT series_id, pow_, CASE WHEN n < 3 OR sqrt(m2) < 1e-10 THEN 0e0 ELSE -abs(m3 / (m2 * sqrt(m2))) - abs(m4 / (m2 * m2) - 3) END AS score FROM m),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY score DESC, pow_) AS place FROM score)
-SELECT series_id, {d.r('pow_')} AS box_cox_pow_, {d.r('score')} AS score FROM ranked WHERE place = 1"""
+SELECT series_id, {d.r('pow_')} AS box_cox_lambda, {d.r('score')} AS score FROM ranked WHERE place = 1"""

@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from driftwood.operators import distributions as dist
+from driftwood.operators import draws
 from driftwood.operators import geometry as geo
 from driftwood.operators import networks as net
 from driftwood.operators import numeric as num
@@ -83,47 +84,59 @@ ENTRIES: dict[str, Entry] = {
     "shapiro_wilk": Entry(order.shapiro_wilk, views.by_type),
     "shapiro_order_stats": Entry(order.shapiro_order_stats, views.by_type),
     "box_cox": Entry(order.box_cox, views.by_type),
-    "lyapunov_neighbors": Entry(geo.lyapunov_neighbors, views.by_user_short),
-    "lyapunov_divergence": Entry(geo.lyapunov_divergence, views.by_user_short),
+    "lyapunov_neighbors": Entry(geo.lyapunov_neighbors, views.by_user),
+    "lyapunov_divergence": Entry(geo.lyapunov_divergence, views.by_user),
     "lyapunov_exponent": Entry(geo.lyapunov_exponent, views.hourly),
     "correlation_curve": Entry(geo.correlation_curve, views.hourly),
     "correlation_dimension": Entry(geo.correlation_dimension, views.hourly),
-    "fnn_fraction": Entry(geo.fnn_fraction, views.by_user_short),
-    "planar_edges_filtration": Entry(geo.filtration_edges, views.by_user_short),
-    "vietoris_rips": Entry(geo.vietoris_rips, views.by_user_short, {"steps": 30}),
-    "nvg_edges": Entry(net.graph_edges, views.by_user_short, {"kind": "natural"}),
-    "hvg_edges": Entry(net.graph_edges, views.by_user_short, {"kind": "horizontal"}),
-    "visibility_degrees": Entry(net.degree_distribution, views.by_user_short),
-    "visibility_metrics": Entry(net.graph_metrics, views.by_user_short),
-    "hvg_metrics": Entry(net.graph_metrics, views.by_user_short, {"kind": "horizontal"}),
+    "fnn_fraction": Entry(geo.fnn_fraction, views.by_user),
+    "planar_edges_filtration": Entry(geo.filtration_edges, views.by_user),
+    "vietoris_rips": Entry(geo.vietoris_rips, views.by_user, {"steps": 30}),
+    "nvg_edges": Entry(net.graph_edges, views.by_user, {"kind": "natural"}),
+    "hvg_edges": Entry(net.graph_edges, views.by_user, {"kind": "horizontal"}),
+    "visibility_degrees": Entry(net.degree_distribution, views.by_user),
+    "visibility_metrics": Entry(net.graph_metrics, views.by_user),
+    "hvg_metrics": Entry(net.graph_metrics, views.by_user, {"kind": "horizontal"}),
     "centrality_degree": Entry(net.centrality_degree, views.by_user),
     "top_nodes": Entry(net.top_nodes, views.by_user),
     "triangles": Entry(net.triangles, views.by_user),
     "clustering_distribution": Entry(net.clustering_distribution, views.by_user),
     "clustering_coefficients": Entry(net.clustering_coefficients, views.by_user),
     "modularity": Entry(net.modularity, views.by_user),
+    "draw_distribution": Entry(draws.draw_distribution, views.draws),
+    "draw_frequency": Entry(draws.draw_frequency, views.draws),
+    "draw_bayes": Entry(draws.draw_bayes, views.draws),
+    "draw_ergodic": Entry(draws.draw_ergodic, views.draws),
+    "draw_autocorrelation": Entry(draws.draw_autocorrelation, views.draws),
+    "draw_range": Entry(draws.draw_range, views.draws),
+    "draw_galois": Entry(draws.draw_galois, views.draws),
+    "draw_multifractal": Entry(draws.draw_multifractal, views.draws),
+    "draw_chaos": Entry(draws.draw_chaos, views.draws),
+    "draw_normalization": Entry(draws.draw_normalization, views.draws),
+    "draw_candidates": Entry(draws.draw_candidates, views.draws),
+    "draw_critical_path": Entry(draws.critical_path, views.draws),
     "fft_spectrum": Entry(num.fft_spectrum, views.hourly, {}, twins.fft_power(), ("series_id", "k", "frequency", "magnitude", "power")),
-    "fft_phase": Entry(num.fft_spectrum, views.by_user_short),
-    "fft_features": Entry(num.fft_features, views.by_user_short, {}, twins.fft_features()),
+    "fft_phase": Entry(num.fft_spectrum, views.by_user),
+    "fft_features": Entry(num.fft_features, views.by_user, {}, twins.fft_features()),
     "psd_welch": Entry(num.psd_welch, views.hourly, {}, twins.psd_welch()),
-    "periodogram": Entry(num.periodogram, views.by_user_short),
+    "periodogram": Entry(num.periodogram, views.by_user),
     "psd_bands": Entry(num.psd_bands, views.hourly),
     "coherence": Entry(num.coherence, views.pairs_long, {}, twins.coherence()),
     "coherence_summary": Entry(num.coherence_summary, views.pairs_long),
-    "density_matrix": Entry(num.density_matrix, views.by_user_short, {}, twins.density_matrix(), ("series_id", "n", "purity", "participation_ratio")),
-    "density_matrix_embedded": Entry(num.density_matrix, views.by_user_short, {"dim": 3, "stride": 2}),
-    "von_neumann_entropy": Entry(num.von_neumann_entropy, views.by_user_short, {}, twins.von_neumann_entropy(), ("series_id", "n", "von_neumann_entropy")),
-    "integrated_information": Entry(num.integrated_information, views.by_user_short),
+    "density_matrix": Entry(num.density_matrix, views.by_user, {}, twins.density_matrix(), ("series_id", "n", "purity", "participation_ratio")),
+    "density_matrix_embedded": Entry(num.density_matrix, views.by_user, {"dim": 3, "stride": 2}),
+    "von_neumann_entropy": Entry(num.von_neumann_entropy, views.by_user, {}, twins.von_neumann_entropy(), ("series_id", "n", "von_neumann_entropy")),
+    "integrated_information": Entry(num.integrated_information, views.by_user),
     "kolmogorov_complexity": Entry(num.kolmogorov_complexity, views.by_user),
     "compression_distance": Entry(num.compression_distance, views.pairs_long),
     "dfa_quadratic": Entry(num.dfa_polynomial, views.daily, {"order": 2}),
     "dfa_cubic": Entry(num.dfa_polynomial, views.daily, {"order": 3}),
-    "graph_paths": Entry(num.graph_paths, views.by_user_short),
-    "centralities": Entry(num.centralities, views.by_user_short),
+    "graph_paths": Entry(num.graph_paths, views.by_user),
+    "centralities": Entry(num.centralities, views.by_user),
     "label_propagation": Entry(num.label_propagation, views.by_user),
-    "small_world": Entry(num.small_world, views.by_user_short, {"graphs": 3}),
-    "persistence": Entry(num.persistence, views.by_user_short),
-    "betti_curve": Entry(num.betti_curve, views.by_user_short),
+    "small_world": Entry(num.small_world, views.by_user, {"graphs": 3}),
+    "persistence": Entry(num.persistence, views.by_user),
+    "betti_curve": Entry(num.betti_curve, views.by_user),
     "dirichlet_credible": Entry(num.dirichlet_credible, views.categories),
     "metropolis_hastings": Entry(num.metropolis_hastings, views.by_type, {"iterations": 4000}),
 }

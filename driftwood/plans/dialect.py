@@ -7,6 +7,7 @@ from DataFrames to a DataFrame; the catalog asks for the same text in the other
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -43,12 +44,12 @@ class Spark:
         odd = f"(({twice}) % 2)"
         first = f"case when {odd} = 1 then 0.5 * ln(pi()) else 0e0 end"
         factors = f"sequence(1, cast(greatest(({twice} - 1) div 2, 1) as int))"
-        return f"aggregate({factors}, {first}, (acc, j) -> acc + case when j > ({twice} - 1) div 2 then 0e0 else ln(j - 0.5 * {odd}) end)"
+        return f"aggregate({factors}, {first}, (acc, j_) -> acc + case when j_ > ({twice} - 1) div 2 then 0e0 else ln(j_ - 0.5 * {odd}) end)"
 
     def chi2_sf(self, x: str, dof: str) -> str:
         """The upper tail of chi-squared: 1 less the series of the lower incomplete gamma function."""
         z = f"(({x}) / 2)"
-        terms = f"aggregate(sequence(1, 400), named_struct('t', 1e0, 's', 1e0), (acc, k) -> named_struct('t', acc.t * {z} / (({dof}) / 2 + k), 's', acc.s + acc.t * {z} / (({dof}) / 2 + k)), acc -> acc.s)"
+        terms = f"aggregate(sequence(1, 400), named_struct('t', 1e0, 's', 1e0), (acc, i_) -> named_struct('t', acc.t * {z} / (({dof}) / 2 + i_), 's', acc.s + acc.t * {z} / (({dof}) / 2 + i_)), acc -> acc.s)"
         body = f"exp(({dof}) / 2 * ln({z}) - {z} - {self.log_gamma_half(f'cast({dof} as int) + 2')} + ln({terms}))"
         return _tail(z, dof, body)
 
@@ -88,7 +89,7 @@ class Duck(Spark):
     def chi2_sf(self, x: str, dof: str) -> str:
         z = f"(({x}) / 2)"
         a = f"(({dof}) / 2)"
-        return _tail(z, dof, f"list_sum(list_transform(range(0, 401), lambda k: exp(({a} + k) * ln({z}) - {z} - lgamma({a} + k + 1))))")
+        return _tail(z, dof, f"list_sum(list_transform(range(0, 401), lambda i_: exp(({a} + i_) * ln({z}) - {z} - lgamma({a} + i_ + 1))))")
 
     def list_of(self, x: str, by: str) -> str:
         return f"list({x} order by {by})"
@@ -125,13 +126,22 @@ def joined(outer: str, text: str) -> str:
     return f"WITH {outer}, {text[4:].lstrip()}" if text[:5].upper().startswith("WITH") else f"WITH {outer} {text}"
 
 
+def doubles(text: str) -> str:
+    """The text with its decimal literals as doubles: exact decimals would round quotients."""
+    return re.sub(r"(?<![\w.])(\d+\.\d+)(?![\deE.])", r"\1e0", text)
+
+
 def operator(build: Callable[..., str]) -> Callable[..., DataFrame]:
     """An operator over one or more frames; its SQL is at hand as .sql(dialect, *names, **config)."""
 
+    @functools.wraps(build)
+    def sql(*args, **config) -> str:
+        return doubles(build(*args, **config))
+
     @functools.wraps(build)
     def apply(*frames: DataFrame, **config) -> DataFrame:
         names = {f"f{k}": f for k, f in enumerate(frames)}
-        return frames[0].sparkSession.sql(build(SPARK, *("{" + n + "}" for n in names), **config), **names)
+        return frames[0].sparkSession.sql(sql(SPARK, *("{" + n + "}" for n in names), **config), **names)
 
-    apply.sql = build
+    apply.sql = sql
     return apply

@@ -13,11 +13,6 @@ def by_user(d: Spark) -> str:
     return f"SELECT cast(user_id AS string) AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value FROM {d.table('events')} WHERE value IS NOT NULL"
 
 
-def by_user_short(d: Spark) -> str:
-    """The first users' series, for operators that compare all pairs: each is short, and there are many."""
-    return f"SELECT series_id, pos, value FROM ({by_user(d)}) u WHERE pos < 64"
-
-
 def hourly(d: Spark) -> str:
     hours = f"SELECT {d.timestamp_hour('ts')} AS h, avg(value) AS value FROM {d.table('events')} WHERE value IS NOT NULL GROUP BY 1"
     return f"SELECT 'hours' AS series_id, row_number() OVER (PARTITION BY 1 ORDER BY h) - 1 AS pos, value FROM ({hours}) x"
@@ -56,4 +51,4 @@ def draws(d: Spark) -> str:
 
 
 #: The tables that each view reads.
-TABLES = {by_type: ["events"], by_user: ["events"], by_user_short: ["events"], hourly: ["events"], daily: ["lineitem"], whole: ["events"], categories: ["events"], pairs: ["events"], pairs_long: ["events"], draws: ["orders", "lineitem"]}
+TABLES = {by_type: ["events"], by_user: ["events"], hourly: ["events"], daily: ["lineitem"], whole: ["events"], categories: ["events"], pairs: ["events"], pairs_long: ["events"], draws: ["orders", "lineitem"]}
