@@ -496,6 +496,26 @@ def merge_distances(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(d[np.triu_indices(len(d), 1)]), np.sort(np.array(out))
 
 
+def _grid_merges(points: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All pair distances ascending; the merging pairs' distances and steps when each step takes its pairs in order of place; the grid."""
+    i, j = np.triu_indices(len(points), 1)
+    d = np.sqrt(((points[i] - points[j]) ** 2).sum(axis=1))
+    pairs = np.sort(d)
+    grid = np.linspace(0, 1, steps) * pairs[len(pairs) * 3 // 4]
+    first = np.searchsorted(grid, d, side="left")
+    root = np.arange(len(points))
+    merges, at = [], []
+    for k in range(steps):
+        new = np.flatnonzero((first == k) & (root[i] != root[j]))
+        for e in new.tolist():
+            a, b = root[i[e]], root[j[e]]
+            if a != b:
+                root[root == b] = a
+                merges.append(d[e])
+                at.append(k)
+    return pairs, np.array(merges), np.array(at, int), grid
+
+
 @per_series("n_points long, h0_features long, h1_features long, max_persistence double, avg_persistence double, significant_features long, max_filtration double")
 def persistence(x: np.ndarray, steps: int = 50, threshold: float = 0.1, dim: int = 1) -> dict | None:
     """Births and deaths on a grid of scales. Every step adds its edges anew, so a pair that closes no component counts at each
@@ -503,9 +523,7 @@ def persistence(x: np.ndarray, steps: int = 50, threshold: float = 0.1, dim: int
     if len(x) < 30:
         return None
     points = planar(x)
-    pairs, merges = merge_distances(points)
-    grid = np.linspace(0, 1, steps) * pairs[len(pairs) * 3 // 4]
-    step = np.searchsorted(grid, merges, side="left")
+    pairs, merges, step, grid = _grid_merges(points, steps)
     deaths = grid[step[step < steps]]
     lives = deaths[deaths > 0]
     closing = np.searchsorted(pairs, grid, side="right") - np.bincount(step[step < steps], minlength=steps)
