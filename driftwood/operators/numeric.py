@@ -332,12 +332,33 @@ def hops(near: list[list[int]], source: int) -> np.ndarray:
     return out
 
 
+#: Graphs up to this size are searched from all nodes at once by matrix products; larger ones node by node, in linear memory.
+DENSE = 2000
+
+
+def all_hops(near: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adjacency matrix, steps between all nodes (-1 without a way), and numbers of shortest ways; a product for each step."""
+    n = len(near)
+    link = np.zeros((n, n))
+    for i, around in enumerate(near):
+        link[i, around] = 1
+    steps, ways = np.full((n, n), -1), np.eye(n)
+    np.fill_diagonal(steps, 0)
+    front, k = np.eye(n), 0
+    while front.any():
+        k += 1
+        front = (front @ link) * (steps < 0)
+        steps[front > 0] = k
+        ways += front
+    return link, steps, ways
+
+
 def _paths(near: list[list[int]]) -> tuple[int, float, int]:
     """Diameter, mean distance of nodes with a way between them, components."""
+    rows = all_hops(near)[1] if len(near) <= DENSE else (hops(near, i) for i in range(len(near)))
     longest = total = pairs = parts = 0
     seen = np.zeros(len(near), bool)
-    for i in range(len(near)):
-        d = hops(near, i)
+    for i, d in enumerate(rows):
         parts += not seen[i]
         seen |= d >= 0
         longest, total, pairs = max(longest, int(d.max())), total + int(d[d > 0].sum()), pairs + int((d > 0).sum())
@@ -354,38 +375,22 @@ def graph_paths(x: np.ndarray, kind: str = "natural", most: int = 1000) -> dict
 
 
 def closeness(near: list[list[int]]) -> np.ndarray:
-    out = np.zeros(len(near))
-    for i in range(len(near)):
-        d = hops(near, i)
-        out[i] = (d > 0).sum() / d[d > 0].sum() if (d > 0).any() else 0.0
-    return out
+    """Nodes that can be reached, by the sum of steps to them."""
+    rows = all_hops(near)[1] if len(near) <= DENSE else (hops(near, i) for i in range(len(near)))
+    return np.array([(d > 0).sum() / d[d > 0].sum() if (d > 0).any() else 0.0 for d in rows])
 
 
 def betweenness(near: list[list[int]]) -> np.ndarray:
-    """Brandes' accumulation over ordered sources, by (n - 1)(n - 2) / 2: twice the undirected standard, as the reference results are."""
+    """Shares of shortest ways through each node over ordered pairs, by (n - 1)(n - 2) / 2: twice the undirected standard, as the
+    reference results are. Shares are gathered from the farthest nodes inwards, for all sources at once."""
     n = len(near)
-    out = np.zeros(n)
-    for s in range(n):
-        order, before, ways, d = [], [[] for _ in range(n)], np.zeros(n), np.full(n, -1)
-        ways[s], d[s] = 1, 0
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in near[v]:
-                if d[w] < 0:
-                    d[w] = d[v] + 1
-                    queue.append(w)
-                if d[w] == d[v] + 1:
-                    ways[w] += ways[v]
-                    before[w].append(v)
-        share = np.zeros(n)
-        for w in reversed(order):
-            for v in before[w]:
-                share[v] += ways[v] / ways[w] * (1 + share[w])
-            if w != s:
-                out[w] += share[w]
-    return out / ((n - 1) * (n - 2) / 2) if n > 2 else out
+    link, steps, ways = all_hops(near)
+    share = np.zeros((n, n))  # of source and node
+    for k in range(int(steps.max()), 0, -1):
+        at = steps == k
+        share += ways * (steps == k - 1) * (np.where(at, (1 + share) / np.where(at, ways, 1), 0) @ link)
+    np.fill_diagonal(share, 0)
+    return share.sum(axis=0) / ((n - 1) * (n - 2) / 2) if n > 2 else share.sum(axis=0)
 
 
 def eigenvector(near: list[list[int]], rounds: int = 100, tolerance: float = 1e-6) -> np.ndarray:
