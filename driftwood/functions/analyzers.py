@@ -30,6 +30,14 @@ class Analyzer:
         bad = F.max((F.isnan("value") | (F.abs("value") == float("inf"))).cast("int")) if "value" in series.columns else F.lit(0)
         return series.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), bad.alias("bad")).select("series_id", "n", F.when(F.col("n") < self.least, "insufficient_data").when(F.col("bad") == 1, "validation").otherwise("ok").alias("status"))
 
+    def recommend(self, results: DataFrame) -> list[str]:
+        """Advice on results; no analyzer has any yet."""
+        return []
+
+    def visualization_data(self, metrics: DataFrame, x: str, y: str) -> DataFrame:
+        """(series_id, x, y) of an operator's rows, for plotting."""
+        return metrics.select("series_id", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+
     def analyze(self, series: DataFrame) -> DataFrame:
         told = to_result(self.operator(series, **self.config), self.framework, self.reading() if self.reading else None)
         checked = self.validate(series).select("series_id", F.col("status").alias("checked"))
@@ -57,7 +65,7 @@ ANALYZERS: dict[str, Analyzer] = {
     "quadratic_residues": _of("Quadratic Residue Analysis", dist.quadratic_residues, 100, "quadratic_residues"),
     "dfa": _of("Detrended Fluctuation Analysis (DFA)", win.dfa_hurst, 100, "dfa_hurst"),
     "lyapunov": _of("Lyapunov Exponent (Rosenstein)", geo.lyapunov_exponent, 100, "lyapunov_exponent"),
-    "takens": _of("Takens Embedding", win.ami_first_minimum, 550),
+    "takens": _of("Takens Embedding", num.takens, 550),
     "correlation_dimension": _of("Correlation Dimension (Grassberger-Procaccia)", geo.correlation_dimension, 1004, "correlation_dimension"),
     "shannon_entropy": _of("Shannon Entropy", dist.shannon_entropy, 10),
     "mutual_information": _of("Mutual Information", dist.mutual_information, 30),

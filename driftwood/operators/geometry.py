@@ -76,6 +76,12 @@ entire AS (SELECT series_id, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2, cou
 SELECT w.series_id, {d.r('coalesce(k.slope, w.slope)', 4)} AS correlation_dimension, {d.r('coalesce(k.r2, w.r2)', 4)} AS r_squared, cast(w.n AS int) AS points FROM entire w LEFT JOIN ranked k ON k.series_id = w.series_id AND place = 1"""
 
 
+@operator
+def correlation_dimensions(d: Spark, s: str, least: int = 2, most: int = 7, **config) -> str:
+    """A row for each embedding dimension."""
+    return " UNION ALL ".join(f"SELECT {m} AS m, q{m}.* FROM ({correlation_dimension.sql(d, s, m=m, **config)}) q{m}" for m in range(least, most + 1))
+
+
 @operator
 def fnn_fraction(d: Spark, s: str, max_dim: int = 5, tau: int = 1, tolerance: float = 15.0) -> str:
     """A row for each embedding dimension: the share of nearest neighbours that part when the series goes on by tau."""

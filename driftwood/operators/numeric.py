@@ -286,6 +286,66 @@ def dfa_polynomial(x: np.ndarray, order: int = 2) -> dict | None:
     return {"boxes": len(f), "hurst_exponent": slope, "r_squared": float(np.corrcoef(rank, f)[0, 1] ** 2), "hurst_std": np.polyfit(np.log(sizes), g, 1)[0]}
 
 
+# --- embedding ------------------------------------------------------------------------------------------------------
+
+
+def best_delay(x: np.ndarray, most: int = 50, bins: int = 16) -> int:
+    """The delay at the first strict local minimum of average mutual information, else at its least."""
+    most, low, size = min(most, len(x) // 4), x.min(), np.ptp(x)
+    cell = np.floor((x - low) / size * (bins - 0.001)).astype(int) if size > 0 else np.zeros(len(x), int)
+    curve = []
+    for k in range(1, most + 1):
+        joint = np.bincount(cell[:-k] * bins + cell[k:], minlength=bins * bins).reshape(bins, bins) / (len(x) - k)
+        apart = joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True)
+        curve.append(float((joint[joint > 0] * np.log2(joint[joint > 0] / apart[joint > 0])).sum()))
+    c = np.round(curve, 9)
+    if len(c) < 3:
+        return 1
+    dips = np.flatnonzero((c[1:-1] < c[:-2]) & (c[1:-1] < c[2:]))
+    return int(dips[0]) + 2 if len(dips) else int(c.argmin()) + 1
+
+
+def false_neighbours(x: np.ndarray, m: int, tau: int, tolerance: float = 15.0, block: int = 512) -> float:
+    """The share of nearest neighbours that part when the series goes on by tau; distances a block of rows at a time."""
+    n, sd = len(x) - (m - 1) * tau - tau, x.std()
+    if n < 2:
+        return 1.0
+    if sd < 1e-10:
+        return 0.0
+    points = np.stack([x[j * tau : j * tau + n] for j in range(m)], axis=1)
+    wrong = total = 0
+    for a in range(0, n, block):
+        rows = np.arange(a, min(n, a + block))
+        d = np.sqrt(np.maximum(0, ((points[rows][:, None] - points[None]) ** 2).sum(axis=2)))
+        d[d <= 0] = np.inf
+        d[rows - a, rows] = np.inf
+        j = d.argmin(axis=1)
+        near = d[rows - a, j]
+        ok = np.isfinite(near) & (near >= 1e-10)
+        more = np.abs(x[rows + tau] - x[j + tau])[ok]
+        wrong += int(((more / near[ok] > tolerance) | (np.sqrt(near[ok] ** 2 + more**2) / sd > tolerance)).sum())
+        total += int(ok.sum())
+    return wrong / total if total else 1.0
+
+
+@per_series("n long, tau int, dimension int, vectors long, fnn array<double>, mean_distance double, std_distance double")
+def takens(x: np.ndarray, max_dim: int = 10, max_delay: int = 50, least: float = 0.01, first: int = 1000) -> dict | None:
+    """Delay from mutual information; dimension where false neighbours fall under `least`, else where they are fewest;
+    distances over the first 1000 vectors, as the reference results have it."""
+    if len(x) < 100 + (max_dim - 1) * max_delay:
+        return None
+    tau, found = best_delay(x, max_delay), []
+    for m in range(1, max_dim + 1):
+        found.append(false_neighbours(x, m, tau))
+        if m >= 2 and found[-1] < least:
+            break
+    m = len(found) if found[-1] < least and len(found) >= 2 else int(np.argmin(found)) + 1
+    n = len(x) - (m - 1) * tau
+    points = np.stack([x[j * tau : j * tau + n] for j in range(m)], axis=1)[:first]
+    d = np.concatenate([np.sqrt(((points[i + 1 :] - points[i]) ** 2).sum(axis=1)) for i in range(len(points) - 1)])
+    return {"n": len(x), "tau": tau, "dimension": m, "vectors": n, "fnn": np.round(found, 6).tolist(), "mean_distance": d.mean(), "std_distance": d.std()}
+
+
 # --- graphs ---------------------------------------------------------------------------------------------------------
 
 

@@ -89,6 +89,7 @@ ENTRIES: dict[str, Entry] = {
     "lyapunov_exponent": Entry(geo.lyapunov_exponent, views.hourly),
     "correlation_curve": Entry(geo.correlation_curve, views.hourly),
     "correlation_dimension": Entry(geo.correlation_dimension, views.hourly),
+    "correlation_dimensions": Entry(geo.correlation_dimensions, views.hourly, {"most": 4}),
     "fnn_fraction": Entry(geo.fnn_fraction, views.by_user),
     "planar_edges_filtration": Entry(geo.filtration_edges, views.by_user),
     "vietoris_rips": Entry(geo.vietoris_rips, views.by_user, {"steps": 30}),
@@ -131,6 +132,7 @@ ENTRIES: dict[str, Entry] = {
     "compression_distance": Entry(num.compression_distance, views.pairs_long),
     "dfa_quadratic": Entry(num.dfa_polynomial, views.daily, {"order": 2}),
     "dfa_cubic": Entry(num.dfa_polynomial, views.daily, {"order": 3}),
+    "takens": Entry(num.takens, views.daily),
     "graph_paths": Entry(num.graph_paths, views.by_user),
     "centralities": Entry(num.centralities, views.by_user),
     "label_propagation": Entry(num.label_propagation, views.by_user),

@@ -173,3 +173,22 @@ def test_analyzers_refuse_politely(spark):
     fine = rows["fine", "Chi-Squared Test"]
     assert fine.status == "ok" and "chi_squared" in fine.metrics and fine.interpretation.startswith("uniform") and rows["short", "Chi-Squared Test"].metrics is None
     assert len(ANALYZERS) == 33
+
+
+def test_takens_embedding():
+    t = np.arange(700)
+    x = np.sin(2 * np.pi * t / 40) + 0.3 * np.sin(2 * np.pi * t / 13)
+    r = num.takens.rows(x)
+    assert r["dimension"] >= 2 and r["vectors"] == 700 - (r["dimension"] - 1) * r["tau"]
+    y = np.random.default_rng(0).normal(size=80)
+    for m in (1, 2, 3):
+        points = np.stack([y[j * 2 : j * 2 + 80 - m * 2] for j in range(m)], axis=1)
+        wrong = 0
+        for i in range(len(points)):
+            d = np.sqrt(((points - points[i]) ** 2).sum(axis=1))
+            d[i] = np.inf
+            j = int(d.argmin())
+            gap = abs(y[i + 2] - y[j + 2])
+            wrong += gap / d[j] > 3 or math.hypot(d[j], gap) / y.std() > 3
+        assert num.false_neighbours(y, m, 2, 3.0, block=7) == pytest.approx(wrong / len(points))
+    assert num.takens.rows(x[:500]) is None
