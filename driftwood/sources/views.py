@@ -6,21 +6,21 @@ from driftwood.plans.dialect import Spark
 
 
 def by_type(d: Spark) -> str:
-    return f"SELECT event_type AS series_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS pos, value FROM {d.table('events')} WHERE value IS NOT NULL"
+    return f"SELECT event_type AS series_id, cast(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS bigint) AS pos, value FROM {d.table('events')} WHERE value IS NOT NULL"
 
 
 def by_user(d: Spark) -> str:
-    return f"SELECT cast(user_id AS string) AS series_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value FROM {d.table('events')} WHERE value IS NOT NULL"
+    return f"SELECT cast(user_id AS string) AS series_id, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS bigint) AS pos, value FROM {d.table('events')} WHERE value IS NOT NULL"
 
 
 def hourly(d: Spark) -> str:
     hours = f"SELECT {d.timestamp_hour('ts')} AS h, avg(value) AS value FROM {d.table('events')} WHERE value IS NOT NULL GROUP BY 1"
-    return f"SELECT 'hours' AS series_id, row_number() OVER (PARTITION BY 1 ORDER BY h) - 1 AS pos, value FROM ({hours}) x"
+    return f"SELECT 'hours' AS series_id, cast(row_number() OVER (PARTITION BY 1 ORDER BY h) - 1 AS bigint) AS pos, value FROM ({hours}) x"
 
 
 def daily(d: Spark) -> str:
     days = f"SELECT date_trunc('day', l_shipdate) AS t, sum(l_extendedprice) / 1000 AS value FROM {d.table('lineitem')} GROUP BY 1"
-    return f"SELECT 'days' AS series_id, row_number() OVER (PARTITION BY 1 ORDER BY t) - 1 AS pos, value FROM ({days}) x"
+    return f"SELECT 'days' AS series_id, cast(row_number() OVER (PARTITION BY 1 ORDER BY t) - 1 AS bigint) AS pos, value FROM ({days}) x"
 
 
 def whole(d: Spark) -> str:
@@ -46,7 +46,7 @@ def pairs_long(d: Spark) -> str:
 def draws(d: Spark) -> str:
     """Orders of five lines as draws of five numbers from 1 to 50: (draw, pos, number), numbers ascending within a draw."""
     lines = f"SELECT l_orderkey, count(*) AS n FROM {d.table('lineitem')} GROUP BY l_orderkey"
-    dated = f"SELECT o_orderkey AS draw, row_number() OVER (PARTITION BY 1 ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM {d.table('orders')} JOIN ({lines}) c ON l_orderkey = o_orderkey WHERE n = 5"
+    dated = f"SELECT o_orderkey AS draw, cast(row_number() OVER (PARTITION BY 1 ORDER BY o_orderdate, o_orderkey) - 1 AS bigint) AS pos FROM {d.table('orders')} JOIN ({lines}) c ON l_orderkey = o_orderkey WHERE n = 5"
     return f"SELECT 'orders' AS series_id, pos, cast(l_quantity AS int) AS number FROM ({dated}) x JOIN {d.table('lineitem')} ON l_orderkey = draw"
 
 
