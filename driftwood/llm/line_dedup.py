@@ -86,7 +86,8 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = place.select(*DOC, "idx", F.explode(F.filter(F.array(*windows), lambda w: w["a"].isNotNull() & w["b"].isNotNull())).alias("w")).select(*DOC, "idx", "w.*")
     runs = shared.written(runs, "runs")
     here = F.struct(*DOC, "idx")
-    first = runs.groupBy("n", "a", "b").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first < last").drop("last")
+    # written, so that the join below has an exchange on both sides and a hot run's rows can be split
+    first = shared.written(runs.groupBy("n", "a", "b").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first < last").drop("last"), "firsts")
     later = runs.join(first, ["n", "a", "b"]).where(F.col("first") < here)
     gone = later.select(*DOC, F.explode(F.sequence("idx", F.col("idx") + F.col("n") - 1)).alias("idx"))
     return gone.groupBy(*DOC).agg(F.array_sort(F.collect_set("idx")).alias("gone"))
@@ -100,7 +101,9 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     empty. All columns stay; columns that already bear the added names are replaced.
     """
     docs = docs.drop("n_lines", "n_deleted")
-    found = deletions(docs, min_words).select(F.col("doc_id").alias("__doc_id"), F.col("th").alias("__th"), "gone")
+    with shared.few_files(docs.sparkSession):
+        found = deletions(docs, min_words)
+    found = found.select(F.col("doc_id").alias("__doc_id"), F.col("th").alias("__th"), "gone")
     joined = docs.withColumn("__key", F.xxhash64(_text())).join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__key") == F.col("__th")), "left")
     lines = joined.withColumn("__lines", F.split(_text(), "\n"))
     last = F.size("__lines") - 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,7 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a Python task holds at a time (a single longer text is held alone).
 SLICE_BYTES = 3 << 20
@@ -28,6 +29,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as double underscores) for what runs inside; the former ones come back."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def few_files(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """For jobs that write small tables: partitions are joined up to the advised size, not spread over all cores."""
+    return settings(spark, spark__sql__adaptive__coalescePartitions__parallelismFirst="false")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame, written once to the shared folder and read back: lineage ends here, and lost executors cost nothing.
 
@@ -42,6 +62,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hashed_sample(df: DataFrame, column: str, most: int, rows: int) -> DataFrame:
+    """Of `rows` rows about 2 * most (all, if there are fewer), chosen by a hash of a column.
+
+    To be cut to `most`: then no task passes on much more than its share, however many tasks there are.
+    """
+    share = min(1.0, 2 * most / max(1, rows))
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), column), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and the n + 1 offsets of its texts in them; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
