@@ -264,13 +264,9 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Model:
 
     Without labelled documents the model knows no language.
     """
-    rows = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-        .select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id")
-        .orderBy("h", "doc_id", "text", "lang")
-        .limit(max_docs)
-        .collect()
-    )
+    labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    some = shared.hashed_sample(labelled, "doc_id", max_docs, labelled.count()).where("text is not null")
+    rows = some.select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text", "lang").limit(max_docs).collect()
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
