@@ -135,7 +135,7 @@ def train(vectors: DataFrame, max_sample: int = MAX_SAMPLE) -> tuple[Tree, np.nd
     """The tree, and the ids and vectors of the calibration queries, from a bounded sample of usable vectors.
 
     """
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).toPandas()
+    rows = shared.hashed_sample(vectors, "vec_id", max_sample, vectors.count()).orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).toPandas()
     x = np.array(rows["vector"].tolist(), np.float64)
     return fit(x), rows["vec_id"].to_numpy()[:SAMPLE_QUERIES], x[:SAMPLE_QUERIES]
 
