@@ -12,8 +12,9 @@ similarity as (m - c) / (1 - c), c = 2 ** -BITS being the chance of equal bits.
 3. Confirmed links give components (smallest id, by label passing and pointer jumping).
 4. A bucket may hold members of several components still: links between two members that don't involve its centre. In
    such buckets every member outside the largest component is compared with all others of the bucket by packed
-   signature, in blocks of bounded size, and the pairs that may reach the threshold are confirmed. Links inside the
-   largest component can't change anything. So no link of a bucket is lost, whatever its centre.
+   signature, in blocks of bounded size, and the pairs that may reach the threshold are confirmed there, but for pairs
+   that hang together by then. Links inside a component can't change anything. So no link of a bucket between
+   components is lost, whatever its centre.
 
 With 64 bands of 8, two sets at 0.8 meet in no bucket with probability 8e-6, at 0.85 with 3e-9.
 
@@ -211,11 +212,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> Da
                 if x is None:
                     held = mine.copy()
                     continue
-                small, large = sorted((mine, held), key=len)
-                if 100 * len(small) < threshold * len(large):
-                    continue
-                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-                if 100 * both >= threshold * (len(small) + len(large) - both):
+                if _linked(mine, held, threshold):
                     xs.append(x)
                     ys.append(y)
             yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
@@ -242,50 +239,118 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
 
 
-def _leftover_pairs(members: DataFrame, packed: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of one bucket and different components that the centres didn't decide, by estimate."""
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (id, component) after further links: only what the links join is searched, with a component as one node."""
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    told = shared.written(links.join(of("x"), "x", "left").join(of("y"), "y", "left").select("x", "y", F.coalesce("cx", "x").alias("cx"), F.coalesce("cy", "y").alias("cy")), "told")
+    joins = components(told.where("cx != cy").select(F.col("cx").alias("x"), F.col("cy").alias("y")).distinct())
+    every = labels.union(told.select(F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("cx").alias("component")), F.struct(F.col("y").alias("id"), F.col("cy").alias("component")))).alias("e")).select("e.*")).distinct()
+    up = joins.select(F.col("id").alias("component"), F.col("component").alias("up"))
+    return shared.written(every.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component")), "labels")
+
+
+def _linked(one: np.ndarray, other: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= threshold * union."""
+    small, large = (one, other) if len(one) <= len(other) else (other, one)
+    if 100 * len(small) < threshold * len(large):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * both >= threshold * (len(small) + len(large) - both)
+
+
+def _leftover_links(members: DataFrame, packed: DataFrame, labels: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame | None:
+    """Links between members of one bucket whose components differ; None if no bucket has several components.
+
+    Within a block, components grow as links are found, pairs of one component are passed over, and only links that join
+    two components are given: fewer than members. The likeliest pair is confirmed first.
+    """
     told = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     sizes = told.groupBy("key", "component").count()
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("size"), F.max("count").alias("most")).where("size > most")
-    told = told.join(main, "key").withColumn("minor", F.col("component") != F.col("main"))
+    told = shared.written(told.join(shared.written(main, "mains"), "key").withColumn("minor", F.col("component") != F.col("main")), "mixed")
+    if told.isEmpty():
+        return None
+    sets = shingle_sets(docs, told.select(F.col("doc_id").alias("id")).distinct(), words).dropDuplicates(["doc_id"])
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    told = told.withColumns({"row_blocks": blocks(F.col("size")), "minor_blocks": blocks(F.col("size") - F.col("most"))}).join(packed, "doc_id")
+    told = told.withColumns({"row_blocks": blocks(F.col("size")), "minor_blocks": blocks(F.col("size") - F.col("most"))}).join(packed, "doc_id").join(sets, "doc_id")
     mine = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
-    as_row = told.select("key", mine(1, "row_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("j"), F.lit(1).alias("side"), "doc_id", "component", "packed", "minor")
-    as_minor = told.where("minor").select("key", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("i"), mine(2, "minor_blocks").alias("j"), F.lit(0).alias("side"), "doc_id", "component", "packed", "minor")
+    kept = ["doc_id", "component", "packed", "set"]
+    as_row = told.select("key", mine(1, "row_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("j"), F.lit(1).alias("side"), *kept)
+    as_minor = told.where("minor").select("key", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("i"), mine(2, "minor_blocks").alias("j"), F.lit(0).alias("side"), *kept)
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = as_row.unionByName(as_minor).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    least = threshold / 100 - MARGIN
+    grouped = as_row.unionByName(as_minor).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "doc_id")
+    least = threshold / 100
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, comps, sigs, block = None, [], [], [], None
+        group, ids, sigs, sets_, roots, block = None, [], [], [], [], None
+        parent: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                c = up
+            return c
+
         for batch in batches:
             xs, ys = [], []
-            for row in batch.to_pylist():
-                here = (row["key"], row["i"], row["j"])
+            names, comps, sides = (batch.column(c).to_pylist() for c in ("doc_id", "component", "side"))
+            heres = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
+            for k, (name, comp, side, here) in enumerate(zip(names, comps, sides, heres, strict=True)):
                 if here != group:
-                    group, ids, comps, sigs, block = here, [], [], [], None
-                one = np.frombuffer(row["packed"], np.uint8)
-                if row["side"] == 0:
-                    ids.append(row["doc_id"])
-                    comps.append(row["component"])
-                    sigs.append(one)
+                    group, ids, sigs, sets_, roots, block, parent = here, [], [], [], [], None, {}
+                one = np.frombuffer(batch.column("packed")[k].as_buffer(), np.uint8)
+                mine_ = np.frombuffer(batch.column("set")[k].as_buffer(), np.uint64)
+                if side == 0:
+                    ids.append(name)
+                    roots.append(comp)
+                    sigs.append(one.copy())
+                    sets_.append(mine_.copy())
                     continue
                 if not ids:
                     continue
                 if block is None:
-                    block = np.array(ids), np.array(comps), np.stack(sigs)
-                apart = block[1] != row["component"]
-                if row["minor"]:  # then the other meets this one as well
-                    apart &= block[0] < row["doc_id"]
-                near = np.flatnonzero(apart)
-                near = near[estimates(one, block[2][near]) >= least]
-                xs += [row["doc_id"]] * len(near)
-                ys += block[0][near].tolist()
+                    block = np.array(roots), np.stack(sigs), np.array([len(x) for x in sets_])
+                root, packed_, size = block
+                near = np.flatnonzero((root != find(comp)) & (100 * np.minimum(size, len(mine_)) >= threshold * np.maximum(size, len(mine_))))
+                guess = estimates(one, packed_[near])
+                # five standard deviations of as many samples as there are bins or shingles
+                likely = guess >= least - 5 * np.sqrt(least * (1 - least) / np.minimum(MINIMA, size[near]))
+                for e in near[likely][np.argsort(-guess[likely], kind="stable")].tolist():
+                    if root[e] != find(comp) and _linked(mine_, sets_[e], threshold):
+                        xs.append(max(name, ids[e]))
+                        ys.append(min(name, ids[e]))
+                        old, new = int(root[e]), find(comp)
+                        parent[old] = new
+                        root[root == old] = new
             yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
-    found = grouped.mapInArrow(task, "x long, y long")
-    return found.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    return shared.written(grouped.mapInArrow(task, "x long, y long"), "links")
+
+
+def _classes_and_links(signed: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """id, component of the documents that hang together with others."""
+    known = signed.where("keys is not null and doc_id is not null")
+    # classes and buckets are written: a join with them has an exchange on both sides, so that a hot key's rows can be split
+    classes = shared.written(known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")), "heads")
+    representing = known.join(classes, ["n_shingles", "s1", "s2"])
+    rows = shared.written(representing.select("doc_id", "rep", "n_shingles", "s1", "s2"), "classes")
+    reps = known.join(rows.where("doc_id = rep").select("doc_id", "s1", "s2").dropDuplicates(["doc_id", "s1", "s2"]), ["doc_id", "s1", "s2"], "left_semi")
+    reps = reps.select("doc_id", "packed", "keys")
+    banded = reps.select("doc_id", F.explode("keys").alias("key"))
+    buckets = shared.written(banded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("key", "centre"), "buckets")
+    members = shared.written(banded.join(buckets, "key"), "members")
+    packed = shared.written(reps.select("doc_id", "packed").join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "packed")
+    pairs = members.where("doc_id != centre").select(F.col("doc_id").alias("x"), F.col("centre").alias("y")).distinct()
+    # the representatives of the rows of one id hang together
+    heads = rows.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
+    same = rows.join(heads.where("rep < last").select("doc_id", F.col("rep").alias("y")), "doc_id").where("rep != y").select(F.col("rep").alias("x"), "y").distinct()
+    labels = components(confirm(_may_reach(pairs, packed, threshold), docs, words, threshold).unionByName(same))
+    # a sixteenth of the buckets first: that joins what belongs together, and few buckets are left with several components
+    for some in (members.where(F.pmod(F.xxhash64("key"), F.lit(16)) == 0), members):
+        links = _leftover_links(some.select("key", "doc_id"), packed, labels, docs, words, threshold)
+        if links is not None:
+            labels = merged(labels, links)
+    of_rep = labels.select(F.col("id").alias("rep"), "component")
+    return heads.join(of_rep, "rep", "left").select(F.col("doc_id").alias("id"), F.coalesce("component", "rep").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
@@ -298,25 +363,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     empty table gives no rows. Further columns are not read.
     """
     signed = shared.written(signatures(docs, words), "signatures")
-    known = signed.where("keys is not null and doc_id is not null")
-    classes = known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    representing = known.join(classes, ["n_shingles", "s1", "s2"])
-    rows = shared.written(representing.select("doc_id", "rep", "n_shingles", "s1", "s2"), "classes")
-    reps = known.join(rows.where("doc_id = rep").select("doc_id", "s1", "s2").dropDuplicates(["doc_id", "s1", "s2"]), ["doc_id", "s1", "s2"], "left_semi")
-    reps = reps.select("doc_id", "packed", "keys")
-    banded = reps.select("doc_id", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("key", "centre")
-    members = shared.written(banded.join(buckets, "key"), "members")
-    packed = shared.written(reps.select("doc_id", "packed").join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "packed")
-    pairs = members.where("doc_id != centre").select(F.col("doc_id").alias("x"), F.col("centre").alias("y")).distinct()
-    links = confirm(_may_reach(pairs, packed, threshold), docs, words, threshold)
-    labels = components(links)
-    left = shared.written(_leftover_pairs(members.select("key", "doc_id"), packed, labels, threshold), "leftover")
-    if not left.isEmpty():
-        links = links.unionByName(confirm(left, docs, words, threshold))
-    # rows of a class and rows of an id hang together
-    ties = rows.where("doc_id != rep").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
-    labels = components(links.unionByName(ties))
+    with shared.few_files(docs.sparkSession):
+        labels = _classes_and_links(signed, docs, words, threshold)
     out = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
