@@ -142,6 +142,41 @@ def test_signatures_estimate_similarity():
         assert abs(near_dup.estimates(packed[0], packed[1:])[0] - keep / (800 - keep)) < 0.09
 
 
+def small_pairs():
+    """Sizes of two sets of 4 to 20 shingles and their common part, at 0.8 and little over."""
+    sizes = [(m, n, c) for m in range(4, 21) for n in range(m, 21) for c in range(1, m + 1)]
+    return [(m, n, c) for m, n, c in sizes if 80 <= 100 * c / (m + n - c) < 90]
+
+
+def test_small_sets_at_the_threshold_meet():
+    rng = np.random.default_rng(2)
+    for m, n, c in small_pairs():
+        values = rng.integers(0, 1 << 62, (100, m + n - c)).astype(np.uint64)
+        one, other = (near_dup.minima(x.ravel(), np.arange(101) * x.shape[1]) for x in (values[:, :m], values[:, m - c :]))
+        assert (near_dup.band_keys(one) == near_dup.band_keys(other)).any(axis=1).all(), (m, n, c)
+        guesses = [near_dup.estimates(a, b[None])[0] for a, b in zip(near_dup.pack_bits(one), near_dup.pack_bits(other), strict=True)]
+        assert min(guesses) > 0.8 - near_dup.MARGIN, (m, n, c)
+
+
+def test_seeded_minima_do_not_depend_on_blocks(monkeypatch):
+    values, bounds = np.random.default_rng(4).integers(0, 1 << 62, 60).astype(np.uint64), np.array([0, 1, 5, 15, 60])
+    want = near_dup.minima(values, bounds)
+    monkeypatch.setattr(near_dup, "SEEDED", 7)
+    assert (near_dup.minima(values, bounds) == want).all()
+
+
+def test_short_documents_against_brute_force(spark):
+    rows, want = [], {}
+    for _ in range(6):
+        for m, n, c in small_pairs():
+            i, words = len(rows), [f"w{len(rows)}x{k}" for k in range(m + n)]
+            one, other = words[:m], words[:c] + words[m : m + n - c]
+            rows += [(i, "\n".join(one)), (i + 1, "\n".join(other))]
+            want |= {i: i, i + 1: i if 100 * len({*one} & {*other}) >= 80 * len({*one} | {*other}) else i + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, 1, 80).collect()} == want
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i + 1, i) for i in range(40)] + [(200, 101), (200, 102), (150, 102)]
     got = {r.id: r.component for r in near_dup.components(spark.createDataFrame(links, "x long, y long")).collect()}
