@@ -15,6 +15,7 @@ of words that are shuffled into one chain, so that label changes occur in it.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -43,8 +44,8 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of letters (ASCII letters and all bytes of other characters), in lower case: their bytes one after another,
-    where each starts, how long it is, and the text that it is in."""
+    """Runs of ASCII letters and other characters' bytes that hold a letter, in lower case: their bytes one after
+    another, where each starts, how long it is, and the text that it is in."""
     keep = _LETTER[raw]
     first = keep.copy()
     first[1:] &= ~keep[:-1]
@@ -58,7 +59,35 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     at = np.flatnonzero(first)
     place = np.cumsum(keep) - 1
     starts = place[at] if len(at) else np.zeros(0, np.int64)
-    return letters, starts, np.diff(starts, append=len(letters)), np.searchsorted(offsets, at, side="right") - 1
+    lengths, doc = np.diff(starts, append=len(letters)), np.searchsorted(offsets, at, side="right") - 1
+    real = _with_letter(letters, starts, lengths)
+    if not real.all():
+        letters, doc, lengths = letters[np.repeat(real, lengths)], doc[real], lengths[real]
+        starts = np.cumsum(lengths) - lengths
+    return letters, starts, lengths, doc
+
+
+@functools.cache
+def _alphabet() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def _with_letter(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which runs hold a letter; those without an ASCII letter are decoded."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    out = np.logical_or.reduceat(letters < 0x80, starts)
+    other = np.flatnonzero(~out)
+    if len(other):
+        raw = letters[shared.ranges(starts[other], lengths[other])].astype(np.int64)
+        owner = np.repeat(other, lengths[other])
+        lead = np.flatnonzero(raw >= 0xC0)
+        first = raw[lead]
+        one, two, three = (raw[np.minimum(lead + k, len(raw) - 1)] & 0x3F for k in (1, 2, 3))
+        code = np.where(first < 0xE0, (first & 0x1F) << 6 | one, np.where(first < 0xF0, (first & 0x0F) << 12 | one << 6 | two, (first & 0x07) << 18 | one << 12 | two << 6 | three))
+        out[owner[lead[_alphabet()[np.minimum(code, 0x10FFFF)]]]] = True
+    return out
 
 
 def features_of(letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,9 +276,6 @@ class Labeller:
         count = np.bincount(doc, minlength=n)
         best = total.argmax(axis=1)
         some = count > 0
-        for i in np.flatnonzero(some):  # bytes of other characters are letters only if one of them is
-            if count[i] < 4 and not any(map(str.isalpha, texts[int(i)].as_py() or "")):
-                some[i] = False
         score = np.where(some, total[np.arange(n), best] / np.maximum(count, 1), 0.0)
         return [self.model.langs[b] if s else "und" for b, s in zip(best, some, strict=True)], np.clip(score, 0.0, 1.0)
 

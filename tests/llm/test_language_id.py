@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -64,6 +65,26 @@ def test_odd_texts():
     assert langs[5:] == ["en", "en"] and scores[0] == 0
 
 
+def test_texts_without_a_letter_are_und_whatever_their_runs():
+    junk = ["€5 €6 €7 €8", "“1” “2” “3”", "│ 1 │ 2 │ 3 │", "1 – 2 – 3 – 4 – 5", "🙂 🙂 🙂 🙂 🙂", "\u0301 1 \u0301 2 \u0301 3 \u0301"]
+    real = ["│ 1 │ é │ 3 │", "€5 €6 €7 €8 the", "漢 1 字 2 漢 3 字", "🙂 1 🙂 2 𐐷 3 🙂", "ª 1 € 2 € 3 €"]
+    texts = junk + real
+    langs, scores = li.Labeller(model()).documents(pa.array(texts))
+    assert [x == "und" for x in langs] == [not any(map(str.isalpha, t)) for t in texts] == [True] * len(junk) + [False] * len(real)
+    assert (scores[: len(junk)] == 0).all() and (scores[len(junk) :] > 0).all()
+
+
+def test_only_runs_with_a_letter_are_words():
+    rnd = random.Random(5)
+    pool = ["é", "€", "–", "🙂", "𐐷", "漢", "a", "Z", "1", " ", "\u0301", "ß", "À"]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randrange(20))) for _ in range(500)]
+    raw, offsets = li.shared.buffers(pa.array(texts))
+    letters, starts, lengths, doc = li.words_of(raw, offsets)
+    got = [(int(d), bytes(letters[s : s + n]).decode()) for s, n, d in zip(starts, lengths, doc, strict=True)]
+    runs = [(i, w) for i, t in enumerate(texts) for w in re.split("[1 ]+", t) if any(map(str.isalpha, w))]
+    assert got == [(i, w.replace("Z", "z").replace("À", "à")) for i, w in runs]
+
+
 def test_spark_and_empty_tables(spark):
     docs = spark.createDataFrame([*rows(150, 3), (None, None, None, "x"), (7, "the of", None, "x")], "doc_id long, text string, lang string, score string").repartition(3)
     m = li.train(docs)
