@@ -111,20 +111,43 @@ def leaf_of(tree: Tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
+class Router:
+    """Best-bin-first traversal; the distances of all centres are computed for many queries at a time."""
+
+    def __init__(self, tree: Tree):
+        self.top = tree.top
+        self.centres = np.concatenate(tree.centres)
+        self.squares = (self.centres * self.centres).sum(axis=1)
+        ends = np.cumsum([len(c) for c in tree.centres]).tolist()
+        self.branches = [list(zip(range(e - len(c), e), c, strict=True)) for e, c in zip(ends, tree.children, strict=True)]
+
+    def bins(self, queries: np.ndarray, visits: int) -> Iterator[list[int]]:
+        """The first leaves of each query, by a queue of branches ordered by the distance of their centres."""
+        for a in range(0, len(queries), CHUNK):
+            q = queries[a : a + CHUNK]
+            # the order of products doesn't depend on a query's length
+            q = q * np.sqrt(self.top / np.maximum((q * q).sum(axis=1), 1e-300))[:, None]
+            far = self.squares - 2 * q @ self.centres[:, :-1].T
+            for one in far:
+                yield self._walk(one.tolist(), visits)
+
+    def _walk(self, far: list[float], visits: int) -> list[int]:
+        queue: list[tuple[float, int]] = [(0.0, 0)]
+        out: list[int] = []
+        push, pop, branches = heapq.heappush, heapq.heappop, self.branches
+        while queue and len(out) < visits:
+            node = pop(queue)[1]
+            if node < 0:
+                out.append(-1 - node)
+            else:
+                for c, child in branches[node]:
+                    push(queue, (far[c], child))
+        return out
+
+
 def best_bins(tree: Tree, q: np.ndarray, visits: int) -> list[int]:
-    """The first leaves of a query, by a queue of branches ordered by the distance of their centres."""
-    q = np.append(q * np.sqrt(tree.top / max(q @ q, 1e-300)), 0.0)  # the order of products doesn't depend on its length
-    queue: list[tuple[float, int]] = [(0.0, 0)]
-    out: list[int] = []
-    while queue and len(out) < visits:
-        _, node = heapq.heappop(queue)
-        if node < 0:
-            out.append(-1 - node)
-            continue
-        c = tree.centres[node]
-        for d, child in zip(((c * c).sum(axis=1) - 2 * c @ q).tolist(), tree.children[node], strict=True):
-            heapq.heappush(queue, (d, child))
-    return out
+    """The first leaves of one query."""
+    return next(Router(tree).bins(q[None], visits))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -178,7 +201,7 @@ def calibrate(indexed: DataFrame, tree: Tree, ids: np.ndarray, queries: np.ndarr
     All vectors are compared with the few queries; each task passes on its k best. A query's own row is the first of its
     id and vector; it is passed over by leaving out one row of the largest score among those.
     """
-    ranks = [{leaf: r for r, leaf in enumerate(best_bins(tree, q, tree.leaves))} for q in queries]
+    ranks = [{leaf: r for r, leaf in enumerate(bins)} for bins in Router(tree).bins(queries, tree.leaves)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
@@ -235,10 +258,11 @@ def search(indexed: DataFrame, queries: DataFrame, tree: Tree, visits: int, k: i
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, block, parts, sizes = sent.value
+        router = Router(tree)
         for batch in batches:
             origin, to, part, lists = [], [], [], []
-            for i, q in enumerate(_matrix(batch.column("vector")) if batch.num_rows else []):
-                leaves = np.array(best_bins(tree, q, visits))
+            for i, bins in enumerate(router.bins(_matrix(batch.column("vector")), visits) if batch.num_rows else []):
+                leaves = np.array(bins)
                 leaves = np.sort(leaves[sizes[leaves] > 0])
                 there = block[leaves]
                 for b in np.unique(there).tolist():
