@@ -27,6 +27,8 @@ from driftwood.llm.shared import buffers, mix64, ranges
 CACHE_PIECES = 800_000
 #: Longer pieces are encoded each time.
 CACHE_BYTES = 200
+#: Bytes of pieces beyond which the memory starts anew.
+CACHE_TEXT = 48 << 20
 
 #: One pre-token in both vocabularies, unchanged by NFC: these go to the merges directly.
 _WORD = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)")
@@ -74,10 +76,13 @@ _PLACE_KEY = _FIXED.integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) +
 
 
 def piece_keys(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit multilinear hash of each piece's bytes and length, never 0."""
+    """A 64-bit multilinear hash of each piece's bytes and length, never 0. Every place has a factor of its own."""
     place = np.arange(len(raw), dtype=np.int64) - np.repeat(starts, lengths)
-    terms = _BYTE_KEY[raw] * _PLACE_KEY[place & 4095] + (place >> 12).astype(np.uint64)
-    return mix64(np.add.reduceat(terms, starts) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    factor = _PLACE_KEY[place & 4095]
+    far = np.flatnonzero(place > 4095)
+    if len(far):
+        factor[far] = mix64(place[far].astype(np.uint64) + np.uint64(0x71A5)) | np.uint64(1)
+    return mix64(np.add.reduceat(_BYTE_KEY[raw] * factor, starts) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 class KeyTable:
@@ -121,7 +126,11 @@ def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PieceCache:
-    """What a worker has learned about pieces: the ids of each, under its key."""
+    """What a worker has learned about pieces: the ids of each, under its key, with its bytes.
+
+    A piece counts as known only if its bytes are those remembered; of pieces that share a key by chance the later ones
+    are learned each time.
+    """
 
     def __init__(self):
         self._clear()
@@ -130,40 +139,73 @@ class PieceCache:
         self.known = KeyTable(2 * CACHE_PIECES)
         self.ids = np.zeros(1 << 16, np.int32)
         self.bounds = np.zeros(1 << 16, np.int64)  # of piece i: bounds[i] to bounds[i + 1]
+        self.text = np.zeros(1 << 18, np.uint8)
+        self.spots = np.zeros(1 << 16, np.int64)  # of its bytes, likewise
         self.count = 0
 
-    def _append(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        begin = int(self.bounds[self.count])
-        need, more = begin + len(ids), self.count + len(lengths) + 1
-        while need > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while more > len(self.bounds):
-            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        self.ids[begin:need] = ids
-        self.bounds[self.count + 1 : more] = begin + np.cumsum(lengths)
+    def _append(self, ids: np.ndarray, lengths: np.ndarray, text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The numbers of new pieces."""
+        first = self.count
+        self.ids, self.bounds = grown(self.ids, self.bounds, first, ids, lengths)
+        self.text, self.spots = grown(self.text, self.spots, first, text, sizes)
         self.count += len(lengths)
+        return np.arange(first, self.count)
+
+    def _same(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Whether each piece has the bytes remembered under its row."""
+        out = self.spots[row + 1] - self.spots[row] == lengths
+        if not out.all():  # only those of equal length are compared
+            out[out] = self._same(raw, starts[out], lengths[out], row[out])
+            return out
+        wrong = np.flatnonzero(raw[ranges(starts, lengths)] != self.text[ranges(self.spots[row], lengths)])
+        if len(wrong):
+            out[np.searchsorted(np.cumsum(lengths), wrong, side="right")] = False
+        return out
+
+    def _learned(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray, learn: Callable) -> np.ndarray:
+        data = raw.tobytes()
+        ids, counts = learn([data[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], keys)
+        return self._append(ids, counts, raw[ranges(starts, lengths)], lengths)
 
     def ids_of(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray, learn: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces one after another, and the n + 1 offsets of the pieces in them.
 
         `learn` gives the ids of new pieces one after another and how many each has, from their bytes and keys.
         """
-        if self.count > CACHE_PIECES:
+        place = self.rows_of(raw, starts, lengths, keys, learn)
+        begin = self.bounds[place]
+        lengths = self.bounds[place + 1] - begin
+        return self.ids[ranges(begin, lengths)], np.concatenate([[0], np.cumsum(lengths)])
+
+    def rows_of(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray, learn: Callable) -> np.ndarray:
+        """The number of each piece."""
+        if self.count > CACHE_PIECES or len(self.text) > CACHE_TEXT:
             self._clear()
         place = self.known.find(keys)
         missing = np.flatnonzero(place < 0)
         if len(missing):
             new, first, where = np.unique(keys[missing], return_index=True, return_inverse=True)
             which = missing[first]
-            data, at, size = raw.tobytes(), starts[which].tolist(), lengths[which]
-            row = np.arange(self.count, self.count + len(new))
-            self._append(*learn([data[a : a + n] for a, n in zip(at, size.tolist(), strict=True)], new))
+            row = self._learned(raw, starts[which], lengths[which], new, learn)
             place[missing] = row[where]
-            keep = (size <= CACHE_BYTES) & (row < 3 * CACHE_PIECES)
+            keep = (lengths[which] <= CACHE_BYTES) & (row < 3 * CACHE_PIECES)
             self.known.add(new[keep], row[keep])
-        begin = self.bounds[place]
-        lengths = self.bounds[place + 1] - begin
-        return self.ids[ranges(begin, lengths)], np.concatenate([[0], np.cumsum(lengths)])
+        other = np.flatnonzero(~self._same(raw, starts, lengths, place)) if len(place) else place
+        if len(other):  # another piece has the same key
+            place[other] = self._learned(raw, starts[other], lengths[other], keys[other], learn)
+        return place
+
+
+def grown(values: np.ndarray, bounds: np.ndarray, rows: int, more: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values and their bounds with further rows; the arrays are doubled when they are full."""
+    begin = int(bounds[rows])
+    while begin + len(more) > len(values):
+        values = np.concatenate([values, np.zeros_like(values)])
+    while rows + len(lengths) + 1 > len(bounds):
+        bounds = np.concatenate([bounds, np.zeros_like(bounds)])
+    values[begin : begin + len(more)] = more
+    bounds[rows + 1 : rows + len(lengths) + 1] = begin + np.cumsum(lengths)
+    return values, bounds
 
 
 class PieceEncoder(PieceCache):

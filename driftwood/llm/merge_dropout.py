@@ -1,9 +1,12 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Words are built up from characters by an agenda of merges, best score first, then leftmost. Each candidate merge is
-skipped when a keyed hash of the word, the place and the piece falls under the dropout rate, so a seed gives the same
-segmentation on any machine and partitioning, and another seed or epoch another. Documents are dealt by a keyed hash of
-their id into VARIANTS streams that segment differently; within a stream a word is segmented once and remembered.
+skipped when a keyed hash of the document, the word's number in it, the place in the word and the piece falls under the
+dropout rate. So every occurrence of a word is cut on its own, a seed gives the same segmentation on any machine and
+partitioning, and another seed or epoch another.
+
+A worker remembers each word's segmentation without dropout, with the candidates that its agenda meets. An occurrence
+whose hash drops none of them has just that segmentation; the others are merged one by one, many at a time.
 
 Words begin at a space, which no piece of the vocabulary has inside; so words don't affect each other. Without dropout
 the ids are those of the sentencepiece library, but for texts that hold the mark U+2581 itself, which is written in
@@ -24,12 +27,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from driftwood.llm import encoder, shared
 
-VARIANTS = 8
 DROPOUT = 0.1
 MARK = "▁"
 #: Words of more characters, or with some that are no pieces, are merged by a heap, the others many at a time.
 SCAN = 32
 _NONE = 1 << 30
+_PLACE, _PIECE = 0x9E3779B1, 0x85EBCA77
+
+
+def _mixed(places: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    return places.astype(np.uint32) * np.uint32(_PLACE) + pieces.astype(np.uint32) * np.uint32(_PIECE)
 
 
 def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -68,42 +75,67 @@ class MergeDropout(encoder.PieceCache):
                 self.symbol_of[ord(c)] = i
         self.limit, self.seed = round(dropout * (1 << 32)), seed
 
-    def variant(self, ids: list[int | None]) -> np.ndarray:
-        """The stream of each document."""
-        known = np.array([0 if i is None else i & 0xFFFFFFFFFFFFFFFF for i in ids], np.uint64)
-        return (shared.mix64(shared.mix64(known + np.uint64(0x51ED27)) ^ np.uint64(self.seed & 0xFFFFFFFF)) >> np.uint64(33)) % np.uint64(VARIANTS)
+    def _clear(self) -> None:
+        super()._clear()
+        self.met = np.zeros(1 << 18, np.uint32)  # the candidates of the words without dropout, place and piece in one
+        self.met_at = np.zeros(1 << 16, np.int64)
 
-    def _skips(self, key, place, piece):
-        """Whether the keyed hash drops a candidate; of numbers or of uint64 arrays that hold 32-bit numbers."""
-        low, x = 0xFFFFFFFF, key ^ (place * 0x9E3779B1 + piece * 0x85EBCA77 & 0xFFFFFFFF)
+    def occurrence_keys(self, ids: list[int | None], doc: np.ndarray) -> np.ndarray:
+        """A 32-bit key for each word from its document's id and its number there; `doc` is ascending."""
+        known = np.array([0 if i is None else i & 0xFFFFFFFFFFFFFFFF for i in ids], np.uint64)
+        base = shared.mix64(shared.mix64(known + np.uint64(0x51ED27)) ^ np.uint64(self.seed & 0xFFFFFFFFFFFFFFFF))
+        count = np.bincount(doc, minlength=len(ids))
+        number = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        return (shared.mix64(base[doc] + number.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+    def _dropped(self, keys: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        """Whether the keyed hash drops each candidate (uint32: key, and place and piece in one)."""
+        x = keys ^ mixed
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(0x7FEB352D)
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x846CA68B)
+        x ^= x >> np.uint32(16)
+        return x < self.limit
+
+    def _skips(self, key: int, place: int, piece: int) -> bool:
+        """The same of one candidate."""
+        low, x = 0xFFFFFFFF, key ^ (place * _PLACE + piece * _PIECE & 0xFFFFFFFF)
         x = (x ^ (x >> 16)) * 0x7FEB352D & low
         x = (x ^ (x >> 15)) * 0x846CA68B & low
         return (x ^ (x >> 16)) < self.limit
 
-    def _candidates(self, left: np.ndarray, right: np.ndarray, keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and piece of each pair of symbols; _NONE where it is no piece or is skipped."""
+    def _candidates(self, left: np.ndarray, right: np.ndarray, keys: np.ndarray | None, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and piece of each pair of symbols; _NONE where it is no piece or is skipped (with keys)."""
         found = self.pair_table.find(_pair_keys(left.ravel(), right.ravel())).reshape(left.shape)
         piece = self.pair_piece[found].astype(np.int64)
         rank = np.where(found >= 0, self.pair_rank[found], _NONE)
-        if self.limit:
-            rank[self._skips(keys, places.astype(np.uint64), piece.astype(np.uint64))] = _NONE
+        if keys is not None and self.limit:
+            rank[self._dropped(np.broadcast_to(keys, piece.shape), _mixed(places, piece))] = _NONE
         return rank, piece
 
-    def _merge_all(self, symbols: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _merge_all(self, symbols: np.ndarray, keys: np.ndarray | None, met: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Merges in all words of one length at a time; gives the rows that are done with their symbols.
 
-        A step makes the best merge of each word, so the words still at work are always of one length.
+        A step makes the best merge of each word, so the words still at work are always of one length. Without keys no
+        candidate is skipped, and `met` gets them: rows, and place and piece in one.
         """
-        rows, keys = np.arange(len(symbols)), (keys >> np.uint64(32))[:, None]
+        rows = np.arange(len(symbols))
         places = np.broadcast_to(np.arange(symbols.shape[1]), symbols.shape)
-        rank, piece = self._candidates(symbols[:, :-1], symbols[:, 1:], keys, places[:, :-1]) if symbols.shape[1] > 1 else (None, None)
+        if symbols.shape[1] < 2:
+            yield rows, symbols
+            return
+        rank, piece = self._candidates(symbols[:, :-1], symbols[:, 1:], None if keys is None else keys[:, None], places[:, :-1])
+        if met is not None:
+            i, j = np.nonzero(rank < _NONE)
+            met.append((i, _mixed(j, piece[i, j])))
         while symbols.shape[1] > 1:
             best = rank.argmin(axis=1)  # the leftmost
             line = np.arange(len(rows))
             going = rank[line, best] < _NONE
             if not going.all():
                 yield rows[~going], symbols[~going]
-                rows, keys, symbols, places, rank, piece, best = (x[going] for x in (rows, keys, symbols, places, rank, piece, best))
+                rows, symbols, places, rank, piece, best = (x[going] for x in (rows, symbols, places, rank, piece, best))
                 line = np.arange(len(rows))
             if not len(rows):
                 return
@@ -118,12 +150,16 @@ class MergeDropout(encoder.PieceCache):
             for at in (best - 1, best):
                 inside = (at >= 0) & (at < width - 2)
                 i, j = line[inside], at[inside]
-                r, p = self._candidates(symbols[i, j], symbols[i, j + 1], keys[i, 0], places[i, j])
+                r, p = self._candidates(symbols[i, j], symbols[i, j + 1], None if keys is None else keys[rows[i]], places[i, j])
                 rank[i, j], piece[i, j] = r, p
+                if met is not None:
+                    new = r < _NONE
+                    met.append((rows[i[new]], _mixed(places[i, j][new], p[new])))
         yield rows, symbols
 
-    def learn(self, words: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of many words one after another, and how many each has."""
+    def _merged(self, words: list[bytes], keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of many words one after another and how many each has; without keys nothing is skipped, and the
+        candidates follow, likewise."""
         points = np.frombuffer(b"".join(words).decode("utf-8").encode("utf-32-le"), "<u4")
         lead = np.frombuffer(b"".join(words), np.uint8) & 0xC0 != 0x80
         size = np.fromiter(map(len, words), np.int64, len(words))
@@ -132,11 +168,20 @@ class MergeDropout(encoder.PieceCache):
         symbol = np.where(points < len(self.symbol_of), self.symbol_of[np.minimum(points, len(self.symbol_of) - 1)], -1)
         plain = (np.minimum.reduceat(symbol, starts) >= 0) & (length <= SCAN)
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        owners, mixed = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for n in np.unique(length[plain]).tolist():
             for mine in np.array_split(which := np.flatnonzero(plain & (length == n)), -(-len(which) * n // 1_000_000)):
-                done += [(mine[rows], out) for rows, out in self._merge_all(symbol[starts[mine][:, None] + np.arange(n)], keys[mine])]
+                met: list | None = [] if keys is None else None
+                done += [(mine[rows], out) for rows, out in self._merge_all(symbol[starts[mine][:, None] + np.arange(n)], None if keys is None else keys[mine], met)]
+                owners += [mine[i] for i, _ in met or ()]
+                mixed += [m for _, m in met or ()]
         slow = np.flatnonzero(~plain)
-        lists = [self.segment(words[k], int(keys[k])) for k in slow.tolist()]
+        lists = []
+        for k in slow.tolist():
+            met = [] if keys is None else None
+            lists.append(self.segment(words[k], None if keys is None else int(keys[k]), met))
+            owners.append(np.full(len(met or ()), k))
+            mixed.append(np.array(met or (), np.uint32))
         sizes = np.zeros(len(words), np.int64)
         for rows, out in done:
             sizes[rows] = out.shape[1]
@@ -147,26 +192,35 @@ class MergeDropout(encoder.PieceCache):
             ids[begin[rows][:, None] + np.arange(out.shape[1])] = out
         for k, x in zip(slow.tolist(), lists, strict=True):
             ids[begin[k] : begin[k] + len(x)] = x
+        owner = np.concatenate(owners)
+        return ids, sizes, np.concatenate(mixed)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
+
+    def learn(self, words: list[bytes], _keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words without dropout one after another, and how many each has."""
+        ids, sizes, mixed, counts = self._merged(words, None)
+        self.met, self.met_at = encoder.grown(self.met, self.met_at, self.count, mixed, counts)
         return ids, sizes
 
-    def segment(self, word: bytes, key: int) -> list[int]:
-        """The ids of one word of any length, by an agenda."""
+    def segment(self, word: bytes, key: int | None, met: list | None = None) -> list[int]:
+        """The ids of one word of any length, by an agenda; without a key nothing is skipped."""
         out: list[int] = []
-        for s in self._heap([self.chars.get(c, -1 - ord(c)) for c in word.decode("utf-8")], key >> 32):
+        for s in self._heap([self.chars.get(c, -1 - ord(c)) for c in word.decode("utf-8")], key, met):
             if 0 <= s < self.last:
                 out.append(s)
             else:
                 out += [self.byte_ids[b] for b in (chr(-1 - s) if s < 0 else self.text_of[s]).encode()]
         return out
 
-    def _heap(self, symbols: list[int], key: int) -> list[int]:
+    def _heap(self, symbols: list[int], key: int | None, met: list | None) -> list[int]:
         n, pairs = len(symbols), self.pairs
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[int, int, int, int, int]] = []
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (found := pairs.get((symbols[i], symbols[j]))) and not (self.limit and self._skips(key, i, found[1])):
+            if j < n and (found := pairs.get((symbols[i], symbols[j]))) and not (key is not None and self.limit and self._skips(key, i, found[1])):
+                if met is not None:
+                    met.append(i * _PLACE + found[1] * _PIECE & 0xFFFFFFFF)
                 heapq.heappush(agenda, (found[0], i, found[1], symbols[i], symbols[j]))
 
         for i in range(n - 1):
@@ -184,7 +238,7 @@ class MergeDropout(encoder.PieceCache):
                 offer(before[i])
         return [s for s, g in zip(symbols, gone, strict=True) if not g]
 
-    def encode(self, texts: pa.Array, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, names: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids, the n + 1 offsets of the texts in them, and the bytes with the space before each text, with offsets."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         raw, offsets = shared.buffers(pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))))
@@ -195,9 +249,28 @@ class MergeDropout(encoder.PieceCache):
         cut[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
         starts = np.flatnonzero(cut)
         lengths = np.diff(starts, append=len(raw))
-        of_piece = variants[np.searchsorted(offsets, starts, side="right") - 1]
-        keys = encoder.piece_keys(raw, starts, lengths) ^ (shared.mix64(of_piece.astype(np.uint64) + np.uint64(self.seed << 8)) & ~np.uint64(1))
-        ids, bounds = self.ids_of(raw, starts, lengths, keys, self.learn)
+        keys = self.occurrence_keys(names, np.searchsorted(offsets, starts, side="right") - 1)
+        sizes = np.zeros(len(starts), np.int64)
+        short = np.flatnonzero(lengths <= encoder.CACHE_BYTES)
+        row = self.rows_of(raw, starts[short], lengths[short], encoder.piece_keys(raw, starts, lengths)[short], self.learn)
+        count = self.met_at[row + 1] - self.met_at[row] if self.limit else np.zeros(len(row), np.int64)
+        other = np.zeros(len(short), bool)
+        if count.any():
+            gone = self._dropped(np.repeat(keys[short], count), self.met[shared.ranges(self.met_at[row], count)])
+            some = count > 0
+            other[some] = np.logical_or.reduceat(gone, (np.cumsum(count) - count)[some])
+        usual, row = short[~other], row[~other]
+        begin = self.bounds[row]
+        sizes[usual] = self.bounds[row + 1] - begin
+        cut_anew = np.sort(np.concatenate([short[other], np.flatnonzero(lengths > encoder.CACHE_BYTES)]))
+        new = np.zeros(0, np.int32)
+        if len(cut_anew):
+            data = raw.tobytes()
+            new, sizes[cut_anew], _, _ = self._merged([data[a : a + n] for a, n in zip(starts[cut_anew].tolist(), lengths[cut_anew].tolist(), strict=True)], keys[cut_anew])
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.empty(int(bounds[-1]), np.int32)
+        ids[shared.ranges(bounds[usual], sizes[usual])] = self.ids[shared.ranges(begin, sizes[usual])]
+        ids[shared.ranges(bounds[cut_anew], sizes[cut_anew])] = new
         return ids, bounds[np.searchsorted(starts, offsets)], raw, offsets
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +293,7 @@ def _read(docs: DataFrame) -> DataFrame:
 def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = 0, vocabulary: str = "piece_bpe_32k.model", digest: bool = False) -> DataFrame:
     """doc_id, ids; or with digest: doc_id, n_ids, ids_crc32, n_bytes, decoded_crc32, lossless.
 
-    A null text counts as empty and has no ids. A null id goes to the stream of id 0. Repeated rows are encoded alike.
+    A null text counts as empty and has no ids. A null id counts as id 0. Repeated rows are encoded alike.
     An empty table gives no rows. Further columns are not read. decoded_crc32 is of the text that decode() gives.
     """
     path = encoder.vocabulary(vocabulary)
@@ -229,7 +302,7 @@ def encode(docs: DataFrame, dropout: float = DROPOUT, seed: int = 0, vocabulary:
         model = merges(path, dropout, seed)
         for part in shared.slices(batches):
             names = part.column("doc_id")
-            ids, bounds, raw, offsets = model.encode(part.column("text"), model.variant(names.to_pylist()))
+            ids, bounds, raw, offsets = model.encode(part.column("text"), names.to_pylist())
             if not digest:
                 yield pa.record_batch([names, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
                 continue

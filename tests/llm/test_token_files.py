@@ -2,9 +2,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from driftwood.llm import dac, separators
+from driftwood.llm import dac, encoder, separators, shared
 
 TEXTS = ["", None, "A cat's 12 Tests.", "é È ü " * 30, "word " * 900, "漢字 <|endoftext|>", "same", "same"] + [f"Text number {i} " * (i % 37) for i in range(60)]
 
@@ -65,3 +66,27 @@ def test_ids_after_the_last_separator_count(spark):
     blocks = [(0, k, bytearray(np.array(x, "<u2").tobytes()), None) for k, x in enumerate([[1, 2], [3, 9], [4], [5, 6]])] + [(1, 0, bytearray(np.array([9, 9], "<u2").tobytes()), None)]
     got = separators.count_tokens(spark.createDataFrame(blocks, separators.FILES_SCHEMA), end_id=9).collect()
     assert sorted((r.file, r.ordinal, r.start, r.n_tokens) for r in got) == [(0, 0, 0, 3), (0, 1, 4, 3), (1, 0, 0, 0), (1, 1, 1, 0)]
+
+
+def test_long_pieces_that_differ_in_the_order_of_blocks():
+    """Texts without a place to cut, whose blocks of 4096 bytes (or characters) are exchanged, keep their own ids."""
+    rng = np.random.default_rng(6)
+    x, y = ("".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 4096)) for _ in range(2))
+    a, b = ("".join(rng.choice(list("abcdefgh"), 4096)) for _ in range(2))
+    mine = [x + y, y + x, a + b, b + a, a + b + a, b + a + a, "\u3042" * 9000, "\u3042" * 9001]
+    coder = encoder.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(2):
+        ids, bounds = coder.encode(pa.array(mine))
+        assert [ids[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:], strict=True)] == [encode("byte_bpe_50k.json", t) for t in mine]
+    raw, offsets = shared.buffers(pa.array(mine))
+    assert len(set(encoder.piece_keys(raw, offsets[:-1], np.diff(offsets)).tolist())) == len(mine)
+
+
+def test_pieces_that_share_a_key_are_told_apart_by_their_bytes(monkeypatch):
+    """With keys that collide all the time the ids are right all the same."""
+    monkeypatch.setattr(encoder, "piece_keys", lambda raw, starts, lengths: (lengths % 3).astype(np.uint64) | np.uint64(8))
+    mine = [f"word{i} and some number{i * 7} {'x' * (i % 9)}" for i in range(80)]
+    coder = encoder.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for _ in range(2):
+        ids, bounds = coder.encode(pa.array(mine))
+        assert [ids[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:], strict=True)] == [encode("byte_bpe_50k.json", t) for t in mine]
