@@ -7,8 +7,8 @@ similarity as (m - c) / (1 - c), c = 2 ** -BITS being the chance of equal bits.
 
 1. Documents with equal sets are one class; from here on only representatives take part.
 2. Each bucket's smallest member is its centre; every other member is a candidate pair with it. So a bucket of n
-   documents gives n - 1 pairs, not n * n. Pairs whose estimate is far under the threshold go; the rest are confirmed on
-   the full sets.
+   documents gives n - 1 pairs, not n * n. Pairs whose sizes rule a link out go, and those whose estimate is far under the
+   threshold unless a set is small; the rest are confirmed on the full sets.
 3. Confirmed links give components (smallest id, by label passing and pointer jumping).
 4. A bucket may hold members of several components still: links between two members that don't involve its centre. In
    such buckets every member outside the largest component is compared with all others of the bucket by packed
@@ -38,8 +38,10 @@ from driftwood.llm.encoder import piece_keys
 MINIMA, BITS, BANDS, ROWS = 512, 4, 64, 8
 #: Pairs whose estimate lies so far under the threshold are not confirmed (the standard deviation at 0.8 is 0.019).
 MARGIN = 0.12
-#: Members of a bucket that are held at a time.
-BLOCK = 2048
+#: Pairs with a set of fewer shingles are confirmed whatever their estimate: its steps are too coarse there.
+SMALL = 64
+#: Members of a bucket that are held at a time, and bytes of their sets (a single larger set is held alone).
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 #: Seeded hashes of small sets that are held at a time, about.
 SEEDED = 1 << 20
 #: Bits of the filter that keeps documents without candidates out of the second reading.
@@ -277,15 +279,17 @@ def _leftover_links(members: DataFrame, packed: DataFrame, labels: DataFrame, do
     Within a block, components grow as links are found, pairs of one component are passed over, and only links that join
     two components are given: fewer than members. The likeliest pair is confirmed first.
     """
-    told = members.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sizes = told.groupBy("key", "component").count()
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("size"), F.max("count").alias("most")).where("size > most")
+    told = members.join(packed.select("doc_id", "n_shingles"), "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = told.groupBy("key", "component").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("shingles"))
+    most = F.struct("count", "component")
+    main = sizes.groupBy("key").agg(F.max_by("component", most).alias("main"), F.sum("count").alias("size"), F.max("count").alias("most"), F.sum("shingles").alias("shingles"), F.max_by("shingles", most).alias("main_shingles")).where("size > most")
     told = shared.written(told.join(shared.written(main, "mains"), "key").withColumn("minor", F.col("component") != F.col("main")), "mixed")
     if told.isEmpty():
         return None
     sets = shingle_sets(docs, told.select(F.col("doc_id").alias("id")).distinct(), words).dropDuplicates(["doc_id"])
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    told = told.withColumns({"row_blocks": blocks(F.col("size")), "minor_blocks": blocks(F.col("size") - F.col("most"))}).join(packed, "doc_id").join(sets, "doc_id")
+    blocks = lambda n, shingles: F.greatest(F.ceil(n / BLOCK), F.ceil(shingles * 8 / BLOCK_BYTES)).cast("int")
+    told = told.withColumns({"row_blocks": blocks(F.col("size"), F.col("shingles")), "minor_blocks": blocks(F.col("size") - F.col("most"), F.col("shingles") - F.col("main_shingles"))})
+    told = told.join(packed.drop("n_shingles"), "doc_id").join(sets, "doc_id")
     mine = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
     kept = ["doc_id", "component", "packed", "set"]
     as_row = told.select("key", mine(1, "row_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("j"), F.lit(1).alias("side"), *kept)
@@ -326,7 +330,7 @@ def _leftover_links(members: DataFrame, packed: DataFrame, labels: DataFrame, do
                 near = np.flatnonzero((root != find(comp)) & (100 * np.minimum(size, len(mine_)) >= threshold * np.maximum(size, len(mine_))))
                 guess = estimates(one, packed_[near])
                 # five standard deviations of as many samples as there are bins or shingles
-                likely = guess >= least - 5 * np.sqrt(least * (1 - least) / np.minimum(MINIMA, size[near]))
+                likely = (guess >= least - 5 * np.sqrt(least * (1 - least) / np.minimum(MINIMA, size[near]))) | (np.minimum(size[near], len(mine_)) < SMALL)
                 for e in near[likely][np.argsort(-guess[likely], kind="stable")].tolist():
                     if root[e] != find(comp) and _linked(mine_, sets_[e], threshold):
                         xs.append(max(name, ids[e]))
@@ -347,11 +351,11 @@ def _classes_and_links(signed: DataFrame, docs: DataFrame, words: int, threshold
     representing = known.join(classes, ["n_shingles", "s1", "s2"])
     rows = shared.written(representing.select("doc_id", "rep", "n_shingles", "s1", "s2"), "classes")
     reps = known.join(rows.where("doc_id = rep").select("doc_id", "s1", "s2").dropDuplicates(["doc_id", "s1", "s2"]), ["doc_id", "s1", "s2"], "left_semi")
-    reps = reps.select("doc_id", "packed", "keys")
+    reps = reps.select("doc_id", "n_shingles", "packed", "keys")
     banded = reps.select("doc_id", F.explode("keys").alias("key"))
     buckets = shared.written(banded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("key", "centre"), "buckets")
     members = shared.written(banded.join(buckets, "key"), "members")
-    packed = shared.written(reps.select("doc_id", "packed").join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "packed")
+    packed = shared.written(reps.select("doc_id", "n_shingles", "packed").join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "packed")
     pairs = members.where("doc_id != centre").select(F.col("doc_id").alias("x"), F.col("centre").alias("y")).distinct()
     # the representatives of the rows of one id hang together
     heads = rows.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
@@ -384,9 +388,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
 
 
 def _may_reach(pairs: DataFrame, packed: DataFrame, threshold: int) -> DataFrame:
-    """The pairs without those whose estimate is far under the threshold."""
+    """The pairs without those whose sizes or whose estimate, which is not asked for small sets, rule a link out."""
     least = threshold / 100 - MARGIN
-    with_both = pairs.join(packed.withColumnsRenamed({"doc_id": "x", "packed": "px"}), "x").join(packed.withColumnsRenamed({"doc_id": "y", "packed": "py"}), "y")
+    of = lambda c: packed.withColumnsRenamed({"doc_id": c, "packed": f"p{c}", "n_shingles": f"n{c}"})
+    with_both = pairs.join(of("x"), "x").join(of("y"), "y").where(100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,6 +399,7 @@ def _may_reach(pairs: DataFrame, packed: DataFrame, threshold: int) -> DataFrame
             differs = a ^ b
             same = ((differs & 0x0F) == 0).sum(axis=1) + ((differs & 0xF0) == 0).sum(axis=1)
             near = (same / MINIMA - 2.0**-BITS) / (1 - 2.0**-BITS) >= least
+            near |= np.minimum(batch.column("nx").to_numpy(), batch.column("ny").to_numpy()) < SMALL
             yield batch.select(["x", "y"]).filter(pa.array(near))
 
     return with_both.mapInArrow(task, "x long, y long")
