@@ -3,7 +3,7 @@
 The field tags tokens as outside (O), begin (B) or inside (I) a secret. Its features are the token's shape (characters
 used, length, changes between letters and digits), the neighbouring words, and facts about the whole text; Viterbi
 decoding gives the best tags. A token can only be B or I if it is strong (8 or more ASCII characters with a digit, or 20
-or more) or stands close behind a key word; elsewhere O is certain, so only the stretches around such tokens need
+or more) or stands close behind a key word, which may be a part of a name (DB_PASSWORD, clientSecret); elsewhere O is certain, so only the stretches around such tokens need
 potentials, and the result is that of decoding the whole text. Texts without any are told apart by array operations.
 
 The weights are learned from generated lines (TRAINING_LINES of them, seeded), so the model doesn't depend on the corpus.
@@ -11,6 +11,7 @@ The weights are learned from generated lines (TRAINING_LINES of them, seeded), s
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -30,10 +31,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "crf")
-TRAINING_LINES = 900
+TRAINING_LINES = 1200
 
 _TOKEN = re.compile(r"\w(?:[\w+/.\-]*\w)?|\S")
-_KEYWORD = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|key|bearer|basic|auth(?:orization)?|credentials?|private|access_key|signature)", re.IGNORECASE | re.ASCII)
+_KEYS = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|key|bearer|basic|auth(?:orization)?|credentials?|private|access_key|signature)"
+_KEYWORD = re.compile(_KEYS, re.IGNORECASE | re.ASCII)
+#: A key word as a part of a name: bounded by anything but letters, or by a change of case.
+_PART = re.compile(rf"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:{_KEYS})(?:(?![A-Za-z])|(?=[A-Z]))", re.ASCII)
 #: Texts that may hold a base match or a key word, for the array search over whole slices.
 _MAY = r"(?i:pass|pwd|secret|token|key|bearer|basic|auth|credential|private|signature)|AKIA[A-Z0-9]{14}|[0-9a-f]{16}"
 #: Tokens behind a key word that may be secret whatever their shape.
@@ -81,7 +85,7 @@ def _word(token: str | None) -> str:
         return "edge"
     if _KEYWORD.fullmatch(token):
         return "k:" + token.lower()
-    if _KEYWORD.search(token):
+    if _PART.search(token):
         return "k:part"
     if len(token) == 1 and not token.isalnum():
         return token if token.isascii() else "other"
@@ -108,7 +112,7 @@ def sequence(text: str) -> Sequence:
     for i, t in enumerate(tokens):
         if strong(t) or i <= near and (len(t) > 1 or t == "="):
             free.append(i)
-        if _KEYWORD.fullmatch(t):
+        if _PART.search(t):
             near = i + REACH
     facts = _facts(text) if free else []
     at = lambda i: _word(tokens[i] if 0 <= i < len(tokens) else None)
@@ -128,8 +132,26 @@ def training_lines(n: int = TRAINING_LINES, seed: int = 11) -> list[tuple[str, l
     mixed = lambda low, high: rnd.choice("abcdefgh") + some(alnum, low, high) + rnd.choice(digits) + rnd.choice("XYZQ")
     values = [lambda: some(hexa, 32, 40), lambda: mixed(16, 40), lambda: "ghp_" + mixed(30, 36), lambda: "sk-" + mixed(24, 48), lambda: "AKIA" + some(string.ascii_uppercase + digits, 16, 16), lambda: "eyJ" + some(b64, 20, 40) + "." + some(b64, 20, 60) + "9", lambda: "xoxb-" + some(digits, 10, 12) + "-" + mixed(20, 24)]
     short = [lambda: mixed(6, 10), lambda: some(string.ascii_lowercase, 5, 8) + some(digits, 2, 4), lambda: some(alnum, 9, 14) + "7"]
-    keys = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "key", "credential", "Password", "SECRET", "passphrase"]
+    keys = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "key", "credential", "Password", "SECRET", "passphrase", "DB_PASSWORD", "client_secret", "aws_secret_access_key", "auth_token", "API-KEY", "clientSecret", "userPassword", "smtp.password", "GITHUB_TOKEN"]
+    number = lambda low, high: str(rnd.randint(low, high))
     plain = [lambda: some(digits, 8, 16), lambda: f"+{rnd.randint(1, 99)} ({some(digits, 3, 3)}) {some(digits, 3, 3)}-{some(digits, 4, 4)}", lambda: f"({some(digits, 3, 3)}) {some(digits, 3, 3)}-{some(digits, 4, 4)}", lambda: " ".join(some(digits, 4, 4) for _ in range(4)), lambda: f"{some(digits, 3, 3)}-{some(digits, 2, 2)}-{some(digits, 4, 4)}", lambda: f"{rnd.randint(1990, 2030)}-{rnd.randint(10, 12)}-{rnd.randint(10, 28)}", lambda: some(string.ascii_lowercase, 3, 8) + "." + some(digits, 2, 2), lambda: f"version-{rnd.randint(1, 9)}.{rnd.randint(10, 99)}.{rnd.randint(1, 9)}", lambda: "https://" + some(string.ascii_lowercase, 5, 9) + ".com/" + some(string.ascii_lowercase, 4, 9) + str(rnd.randint(1, 99)), lambda: some(string.ascii_lowercase, 3, 8) + str(rnd.randint(1, 99)) + "@mail" + str(rnd.randint(1, 9)) + ".example.com", lambda: some(string.ascii_lowercase, 20, 28), lambda: "chapter" + some(digits, 1, 3), lambda: f"192.168.{rnd.randint(100, 255)}.{rnd.randint(100, 255)}", lambda: f"555-{some(digits, 3, 3)}-{some(digits, 4, 4)}", lambda: some(string.ascii_lowercase, 4, 7) + "_" + some(string.ascii_lowercase, 4, 7) + str(rnd.randint(1, 9))]
+    plain += [
+        lambda: ".".join(number(0, 255) for _ in range(4)),  # addresses, also with a port
+        lambda: ".".join(number(1, 255) for _ in range(4)) + ":" + number(80, 9999),
+        lambda: ".".join(number(100, 255) for _ in range(4)),
+        lambda: ":".join(some(hexa, 2, 2) for _ in range(6)),
+        lambda: ":".join(some(hexa, 4, 4) for _ in range(8)),
+        lambda: f"{number(1, 20)}.{number(0, 30)}.{number(100, 30000)}.{number(0, 9)}",  # versions
+        lambda: f"v{number(1, 20)}.{number(0, 30)}.{number(0, 99)}-rc{number(1, 9)}",
+        lambda: f"{number(1990, 2030)}-{number(10, 12)}-{number(10, 28)}T{number(10, 23)}:{number(10, 59)}:{number(10, 59)}",  # times
+        lambda: f"{number(1990, 2030)}{number(10, 12)}{number(10, 28)}T{number(100000, 235959)}",
+        lambda: f"{number(10, 28)}/{number(10, 12)}/{number(1990, 2030)}",
+        lambda: f"{rnd.choice(['ORD', 'INV', 'order', 'ticket', 'PO', 'RFC'])}-{number(1990, 2030)}-{some(digits, 4, 7)}",  # numbers of things
+        lambda: f"{rnd.choice(['IMG', 'DSC', 'scan', 'report'])}_{some(digits, 4, 8)}.{rnd.choice(['jpg', 'pdf', 'txt'])}",
+        lambda: f"{number(10, 60)}.{some(digits, 5, 7)}",
+        lambda: f"978-{number(0, 9)}-{some(digits, 4, 4)}-{some(digits, 4, 4)}-{number(0, 9)}",
+        lambda: some(string.ascii_lowercase, 4, 9) + "-" + some(string.ascii_lowercase, 4, 9) + "-" + some(string.ascii_lowercase, 4, 9),
+    ]
     out = []
     for _ in range(n):
         text, spans = words(rnd.randint(1, 8)) + rnd.choice([" ", ". ", "\n"]), []
@@ -280,10 +302,21 @@ def field_spans(text: str, m: Model) -> list[Span]:
 
 
 def all_spans(text: str, m: Model) -> list[Span]:
-    """The base spans, and those of the field that overlap none of them."""
+    """The base spans, and those of the field that don't lie inside them; the field's may overlap base spans."""
     base = base_spans(text)
-    extra = [x for x in field_spans(text, m) if not any(x.start < y.end and y.start < x.end for y in base)]
-    return sorted(base + extra)
+    starts, ends = [], []  # what the base spans cover, joined
+    for x in base:
+        if ends and x.start <= ends[-1]:
+            ends[-1] = max(ends[-1], x.end)
+        else:
+            starts.append(x.start)
+            ends.append(x.end)
+
+    def covered(x: Span) -> bool:
+        k = bisect.bisect_right(starts, x.start) - 1
+        return k >= 0 and x.end <= ends[k]
+
+    return sorted(base + [x for x in field_spans(text, m) if not covered(x)])
 
 
 def suspects(texts: pa.Array) -> np.ndarray:
