@@ -38,6 +38,8 @@ def write_files(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
 
         for part in shared.slices(batches):
             ids, _ = encoder.with_end(*coder.encode(part.column("text")), end_id)
+            if len(ids) and int(ids.max()) > 0xFFFF:
+                raise ValueError(f"id {int(ids.max())} doesn't fit into the file's 16 bits")
             names += part.column("doc_id").to_pylist()
             open_ids = np.concatenate([open_ids, ids.astype(np.uint16)])
             whole = len(open_ids) // block_tokens
