@@ -74,12 +74,12 @@ class Packer:
                 room -= len(ids)
         self._close(pieces, self.tiers[level])
 
-    def _wait(self, doc: int, start: int, ids: np.ndarray) -> None:
+    def _wait(self, doc: object, start: int, ids: np.ndarray) -> None:
         level = max(k for k, w in enumerate(self.tiers) if len(ids) <= w)
         self.waiting[level].append((doc, start, ids))
         self.tokens[level] += len(ids)
 
-    def add(self, doc: int, ids: np.ndarray) -> None:
+    def add(self, doc: object, ids: np.ndarray) -> None:
         window, at = self.tiers[0], 0
         while len(ids) - at >= window:
             self._close([(doc, at, ids[at : at + window])], window)
@@ -126,17 +126,15 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, base = Packer(tiers, step_tokens), TaskContext.get().partitionId() << SEQUENCE_BITS
-        ids_of: list[int | None] = []
-        sizes: list[int] = []
         coder = encoder.encoder(file)
 
         def rows() -> pa.RecordBatch:
             doc, start, length, crc, seq, at, tier, group = map(list, zip(*packer.take(), strict=True))
-            key = np.array(doc, np.int64)
+            name, size = zip(*doc, strict=True)
             return pa.record_batch(
                 [
-                    pa.array([ids_of[k] for k in doc], pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
-                    pa.array(np.array(sizes, np.int64)[key]), pa.array(np.array(seq, np.int64) + base), pa.array(at, pa.int64()), pa.array(tier, pa.int32()), pa.array(np.array(group, np.int64) + base),
+                    pa.array(name, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()),
+                    pa.array(size, pa.int64()), pa.array(np.array(seq, np.int64) + base), pa.array(at, pa.int64()), pa.array(tier, pa.int32()), pa.array(np.array(group, np.int64) + base),
                 ],
                 names=[x.split()[0] for x in SCHEMA.split(", ")],
             )
@@ -144,11 +142,8 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0
         for part in shared.slices(batches):
             ids, bounds = encoder.with_end(*coder.encode(part.column("text")), end_id)
             ids = ids.astype("<u4")
-            first = len(ids_of)
-            ids_of += part.column("doc_id").to_pylist()
-            sizes += np.diff(bounds).tolist()
-            for k in range(part.num_rows):
-                packer.add(first + k, ids[bounds[k] : bounds[k + 1]])
+            for k, name in enumerate(part.column("doc_id").to_pylist()):
+                packer.add((name, int(bounds[k + 1] - bounds[k])), ids[bounds[k] : bounds[k + 1]])
             if packer.rows:
                 yield rows()
         packer.finish()
