@@ -36,33 +36,33 @@ def statistics(docs: DataFrame) -> DataFrame:
     """The documents with the base statistics (long), base_failed, and the features (double) of the rules.
 
     Null texts have no words. Three-word windows are compared by 64-bit hashes; where some are equal, the hashes are
-    sorted with their places in the low bits, so a window's copies stand side by side.
+    sorted with their places, so a window's copies stand side by side. The documents' columns travel in one structure,
+    so they may have any names; those that bear an added name are replaced.
     """
     columns = [c for c in docs.columns if c not in {*BASE, *FEATURES, "base_failed"}]
-    step = docs.select(*columns, F.coalesce("text", F.lit("")).alias("__t"))
-    bare = F.btrim("__t", F.lit(_TRIM))
-    step = step.withColumn("__w", F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, _BLANKS)))
-    step = step.withColumn("__l", F.filter(F.split("__t", "\n"), lambda x: F.length(F.btrim(x, F.lit(_TRIM))) > 0))
+    own = lambda names: [F.col(f"`{c.replace('`', '``')}`") for c in names]
+    step = docs.select(F.struct(*own(columns)).alias("doc"), F.coalesce("text", F.lit("")).alias("t"))
+    bare = F.btrim("t", F.lit(_TRIM))
+    step = step.withColumn("w", F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, _BLANKS)))
+    step = step.withColumn("l", F.filter(F.split("t", "\n"), lambda x: F.length(F.btrim(x, F.lit(_TRIM))) > 0))
     step = step.select(
-        *columns,
-        "__w",
-        F.size("__w").alias("__n"),
-        F.length(F.array_join("__w", "")).alias("__chars"),
-        (F.length("__t") - F.length(F.regexp_replace("__t", "[#*$%&|<>]+", ""))).alias("__symbols"),
-        F.size("__l").alias("__lines"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).alias("__dups"),
+        "doc",
+        "w",
+        F.size("w").alias("n_words"),
+        F.length(F.array_join("w", "")).alias("word_chars"),
+        (F.length("t") - F.length(F.regexp_replace("t", "[#*$%&|<>]+", ""))).alias("n_symbols"),
+        F.size("l").alias("lines"),
+        (F.size("l") - F.size(F.array_distinct("l"))).alias("n_dup_lines"),
     )
-    step = step.withColumn("__h", F.when(F.col("__n") >= 3, F.expr("transform(sequence(0, __n - 3), i -> xxhash64(get(__w, i), get(__w, i + 1), get(__w, i + 2)))"))).drop("__w")
-    step = step.withColumn("__low", F.expr("shiftleft(1L, length(bin(__n))) - 1L"))
-    step = step.withColumn("__s", F.expr("case when size(array_distinct(__h)) < size(__h) then sort_array(transform(__h, (x, i) -> (x & ~__low) | cast(i as bigint))) end")).drop("__h")
-    twins = "filter(__s, (x, i) -> (i > 0 and (get(__s, i - 1) & ~__low) = (x & ~__low)) or (i + 1 < size(__s) and (get(__s, i + 1) & ~__low) = (x & ~__low)))"
-    step = step.withColumn("__r", F.expr(f"coalesce(size(array_distinct(flatten(transform({twins}, x -> array(x & __low, (x & __low) + 1, (x & __low) + 2))))), 0)"))
-    named = {"n_words": "__n", "word_chars": "__chars", "n_symbols": "__symbols", "n_dup_lines": "__dups", "n_repeat_words": "__r"}
-    out = step.select(*columns, *[F.col(v).cast("long").alias(k) for k, v in named.items()], "__lines")
+    step = step.withColumn("h", F.when(F.col("n_words") >= 3, F.expr("transform(sequence(0, n_words - 3), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)))"))).drop("w")
+    step = step.withColumn("s", F.expr("case when size(array_distinct(h)) < size(h) then sort_array(transform(h, (x, i) -> struct(x as h, i as i))) end")).drop("h")
+    twins = "filter(s, (x, i) -> (i > 0 and get(s, i - 1).h = x.h) or (i + 1 < size(s) and get(s, i + 1).h = x.h))"
+    step = step.withColumn("n_repeat_words", F.expr(f"coalesce(size(array_distinct(flatten(transform({twins}, x -> array(x.i, x.i + 1, x.i + 2))))), 0)"))
+    out = step.select("doc", *[F.col(c).cast("long").alias(c) for c in BASE], "lines")
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    ratios = [F.col("n_words").cast("double"), per("word_chars", "n_words"), per("n_symbols", "word_chars"), per("n_dup_lines", "__lines"), per("n_repeat_words", "n_words"), per("n_words", "__lines")]
+    ratios = [F.col("n_words").cast("double"), per("word_chars", "n_words"), per("n_symbols", "word_chars"), per("n_dup_lines", "lines"), per("n_repeat_words", "n_words"), per("n_words", "lines")]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.select(*columns, *BASE, failed.alias("base_failed"), *[x.alias(n) for n, x in zip(FEATURES, ratios, strict=True)])
+    return out.select("doc.*", *BASE, failed.alias("base_failed"), *[x.alias(n) for n, x in zip(FEATURES, ratios, strict=True)])
 
 
 class Condition(NamedTuple):
@@ -137,7 +137,9 @@ def learn(x: np.ndarray, bad: np.ndarray) -> list[Rule]:
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
     """Rules from the labelled documents that pass the base test. Labels that are null tell nothing; of several for a document
     the lowest counts. Without labels there are no rules."""
-    chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    told = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality")
+    # chosen by hash first, so that no task passes on much more than its share
+    chosen = shared.hashed_sample(told, "doc_id", max_labelled, told.select("doc_id").distinct().count()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     known = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # max_labelled rows
     # base_failed is looked at here: as a filter it would be pushed below the statistics and compute them over and over
     rows = known.select("doc_id", "quality", "base_failed", *FEATURES).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(max_labelled).collect()
