@@ -90,6 +90,39 @@ def test_line_dedup_against_all_runs(spark):
             assert (r.text or "") == "\n".join(kept)
 
 
+def test_suffix_array_is_sorted_and_knows_common_prefixes(spark, monkeypatch):
+    """Against plain sorting: places in order of their next lines (as far as sorted), and exact common prefixes."""
+    monkeypatch.setattr(line_dedup, "STRETCH", 7)
+    rnd = random.Random(5)
+    rows = [(i, "\n".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 14)))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lines = line_dedup.lines_of(docs)
+    seqs = {d: t.split("\n") for d, t in rows}
+    got = sorted(line_dedup.with_reach(line_dedup.suffix_array(lines, 6), 6).collect(), key=lambda r: r.at)
+    assert [r.at for r in got] == list(range(len(got)))
+    suffix = [seqs[r.doc_id][r.idx : r.idx + 8] for r in got]
+    common = [next((k for k in range(9) if a[k : k + 1] != b[k : k + 1] or k >= len(a)), 8) for a, b in zip(suffix, suffix[1:], strict=False)]
+    assert [r.lcp for r in got][1:] == common and got[0].lcp == 0
+    assert [r.reach for r in got] == [max(a, b) for a, b in zip([0, *common], [*common, 0], strict=True)]
+    assert len({tuple(x) for x in suffix}) == 1 + sum(a != b for a, b in zip(suffix, suffix[1:], strict=False))
+
+
+def test_maximal_runs(spark):
+    a, b = [f"line {k} one two three" for k in range(6)], [f"other {k} one two three" for k in range(4)]
+    rows = [(1, "\n".join(a)), (2, "\n".join(["x y", *a[1:5], "z", *b])), (3, "\n".join(["", *b[1:], *a]))]
+    runs = line_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, runs)) == [(2, 1, 4, 1, 1), (3, 0, 9, 2, 7)]
+
+
+def test_inner_names_as_columns(spark):
+    names = "h, t, w, l, s, doc, lines, full, gone, at, reach, th, idx, `a.b`"
+    schema = "doc_id long, text string, " + ", ".join(f"{n} string" for n in names.split(", "))
+    docs = spark.createDataFrame([(1, "one two three", *"abcdefghijklmn")], schema)
+    for out in (line_dedup.dedup(docs), quality_rules.statistics(docs)):
+        row = out.first()
+        assert tuple(row[: len(docs.columns)]) == (1, "one two three", *"abcdefghijklmn")
+
+
 def test_line_dedup_of_equal_rows_and_nulls(spark):
     text = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
