@@ -246,7 +246,8 @@ def components(links: DataFrame) -> DataFrame:
     both = shared.written(both.distinct(), "edges")
     while True:
         near = both.join(labels.withColumnRenamed("id", "y"), "y").groupBy("x").agg(F.min("component").alias("near"))
-        step = labels.join(near.withColumnRenamed("x", "id"), "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        # written, so that the join below has an exchange on both sides and a hot component's rows can be split
+        step = shared.written(labels.join(near.withColumnRenamed("x", "id"), "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component")), "steps")
         up = step.select(F.col("id").alias("component"), F.col("component").alias("up"))
         new = shared.written(step.join(up, "component", "left").select("id", "old", F.coalesce("up", "component").alias("component")), "labels")
         if new.where("old != component").isEmpty():
