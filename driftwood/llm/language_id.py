@@ -29,6 +29,8 @@ from driftwood.llm.encoder import KeyTable, piece_keys
 
 #: Bound on the labelled documents that the model is fitted on.
 MAX_TRAINING_DOCS = 600
+#: Bound on the bytes of their texts; a text that would exceed it is left out whole.
+MAX_TRAINING_BYTES = 8 << 20
 #: Bound on the words of them that enter the chain; a hash of place decides, over whole texts.
 MAX_TRAINING_WORDS = 200_000
 TABLE_BITS = 15
@@ -123,16 +125,29 @@ class Model(NamedTuple):
 
 
 def emissions(model: Model, letters: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The emission scores of distinct words, averaged over their n-grams so that long words don't outweigh."""
+    """The emission scores of distinct words, the sums of their features' weights."""
     rows, counts = features_of(letters, starts, lengths)
     return np.add.reduceat(model.emit[rows], np.cumsum(counts) - counts, axis=0) if len(counts) else np.zeros((0, len(model.langs)))
 
 
 def posteriors(scores: np.ndarray, move: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     """Label probabilities of each word of a chain of documents; fresh: words that begin one."""
-    n, k = scores.shape
-    if not n:
+    if not len(scores):
         return scores
+    before, _, behind = messages(scores, move, fresh)
+    p = before * behind
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def pair_posteriors(before: np.ndarray, weight: np.ndarray, behind: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The probabilities of each two labels in a row, of all neighbours of one chain, from its messages."""
+    pairs = before[:-1, :, None] * np.exp(move - move.max()) * (weight * behind)[1:, None, :]
+    return pairs / pairs.sum(axis=(1, 2), keepdims=True)
+
+
+def messages(scores: np.ndarray, move: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward vectors (with each word's own weight), the weights, and backward vectors, each up to a factor a word."""
+    n, k = scores.shape
     width = max(1, int(np.sqrt(n)))
     rows = -(-n // width)
     weight = np.ones((rows * width, k))
@@ -174,12 +189,10 @@ def posteriors(scores: np.ndarray, move: np.ndarray, fresh: np.ndarray) -> np.nd
                 v /= v.sum(axis=1, keepdims=True)
         return out
 
-    p = passes(range(width), True) * passes(range(width - 1, -1, -1), False)
-    p /= p.sum(axis=2, keepdims=True)
-    return p.reshape(-1, k)[:n]
+    return tuple(x.reshape(-1, k)[:n] for x in (passes(range(width), True), weight, passes(range(width - 1, -1, -1), False)))
 
 
-def fit(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7) -> Model:
+def fit(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7, max_words: int = MAX_TRAINING_WORDS) -> Model:
     """Maximum conditional likelihood by AdaGrad over the whole chain."""
     names = tuple(sorted(set(langs)))
     k = len(names)
@@ -188,8 +201,8 @@ def fit(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7) -
     if not len(starts) or k < 2:
         return Model(names, np.zeros((1 << TABLE_BITS, k)), np.zeros((k, k)))
     label = np.array([names.index(x) for x in langs])[doc]
-    if len(starts) > MAX_TRAINING_WORDS:  # stretches of 32 words by the hash of their place
-        chosen = shared.mix64(np.arange(len(starts), dtype=np.uint64) >> np.uint64(5)) < np.uint64(int(2**64 * (MAX_TRAINING_WORDS / len(starts))) - 1)
+    if len(starts) > max_words:  # stretches of 32 words by the hash of their place
+        chosen = shared.mix64(np.arange(len(starts), dtype=np.uint64) >> np.uint64(5)) < np.uint64(int(2**64 * (max_words / len(starts))) - 1)
         starts, lengths, label, doc = starts[chosen], lengths[chosen], label[chosen], doc[chosen]
     _, first, word = np.unique(piece_keys(letters, starts, lengths) if len(starts) == len(letters) else _keys(letters, starts, lengths), return_index=True, return_inverse=True)
     rng = np.random.default_rng(seed)
@@ -208,14 +221,14 @@ def fit(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7) -
     fresh = np.zeros(len(word), bool)
     fresh[0] = True
     for _ in range(steps):
-        p = posteriors(np.add.reduceat(emit[rows], begin, axis=0)[word], move, fresh)
+        before, weight, behind = messages(np.add.reduceat(emit[rows], begin, axis=0)[word], move, fresh)
+        p = before * behind
+        p /= p.sum(axis=1, keepdims=True)
+        joint = pair_posteriors(before, weight, behind, move)
         off = np.stack([np.bincount(word, (truth - p)[:, j], len(counts)) for j in range(k)], axis=1)
         grad = np.stack([np.bincount(rows, off[owner, j], len(emit)) for j in range(k)], axis=1) / len(word) - 1e-7 * emit
         seen += grad * grad
         emit += 0.3 * grad / np.sqrt(seen)
-        # expected moves, with neighbouring words' probabilities taken as independent given the chain
-        joint = p[:-1, :, None] * np.exp(move) * p[1:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
         grad = (pairs - joint.sum(axis=0)) / len(word)
         moves += grad * grad
         move += 0.3 * grad / np.sqrt(moves)
@@ -285,14 +298,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, max_docs: int = MAX_TRAINING_DOCS) -> Model:
-    """Fitted on a bounded sample of the labelled documents: at most max_docs, those of smallest hash of their id.
+def train(docs: DataFrame, max_docs: int = MAX_TRAINING_DOCS, max_bytes: int = MAX_TRAINING_BYTES) -> Model:
+    """Fitted on a bounded sample of the labelled documents: whole texts, in the order of the hash of their ids, as far as
+    both bounds allow.
 
     Without labelled documents the model knows no language.
     """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     some = shared.hashed_sample(labelled, "doc_id", max_docs, labelled.count()).where("text is not null")
-    rows = some.select("text", "lang", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text", "lang").limit(max_docs).collect()
+    some = some.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    order, room, chosen = ["h", "doc_id", "t", "lang"], max_bytes, []
+    for r in some.select(*order, F.octet_length("text").alias("n")).distinct().orderBy(*order).limit(max_docs).collect():  # sizes, not texts
+        if r.n <= room:
+            room -= r.n
+            chosen.append((r.h, r.t, r.lang))
+    if not chosen:
+        return fit([], [])
+    wanted = docs.sparkSession.createDataFrame(chosen, "h long, t long, lang string")
+    rows = some.join(F.broadcast(wanted), ["h", "t", "lang"]).dropDuplicates(order).orderBy(*order).collect()
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 import zlib
@@ -95,3 +96,23 @@ def test_spark_and_empty_tables(spark):
     none = li.train(docs.limit(0))
     assert {r.lang_pred for r in li.identify(docs, none).collect()} == {"und"}
     assert li.identify(docs.limit(0), m).count() == 0
+
+
+def test_pair_probabilities_are_those_of_all_labellings():
+    rng = np.random.default_rng(0)
+    scores, move, fresh = rng.normal(size=(6, 3)), rng.normal(size=(3, 3)), np.arange(6) == 0
+    want, total = np.zeros((5, 3, 3)), 0.0
+    for y in itertools.product(range(3), repeat=6):
+        v = np.exp(sum(scores[i, y[i]] for i in range(6)) + sum(move[y[i], y[i + 1]] for i in range(5)))
+        total += v
+        for i in range(5):
+            want[i, y[i], y[i + 1]] += v
+    before, weight, behind = li.messages(scores, move, fresh)
+    assert np.allclose(li.pair_posteriors(before, weight, behind, move), want / total)
+
+
+def test_training_sample_is_bounded_in_bytes(spark):
+    rows = [(i, "the cat " * 50 if i % 2 else "le chat " * 50, "en" if i % 2 else "fr") for i in range(60)] + [(999, "x " * 100_000, "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(li.train(docs, max_bytes=10_000).langs) == {"en", "fr"}
+    assert li.train(docs, max_bytes=10).langs == ()

@@ -45,7 +45,7 @@ def test_recall_scores_and_ties(spark):
 
 def test_blocks_hold_neighbouring_leaves_and_cut_large_ones():
     block, parts = vs.blocks_of(np.array([3, 4, 25, 0, 2, 9, 1]), 10)
-    assert block.tolist() == [0, 0, 1, 2, 2, 3, 3] or block.tolist()[:3] == [0, 0, 1]
+    assert block.tolist() == [0, 0, 1, 2, 2, 3, 3]
     assert parts[block[2]] == 3 and all(np.diff(block) >= 0) and len(parts) == block[-1] + 1
 
 
@@ -59,10 +59,7 @@ def test_rows_of_one_id_are_candidates_and_queries_of_their_own(spark):
     for r in vs.nearest(table, F.col("vec_id") % 20 == 0, k=70).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert {q: len(f) for q, f in got.items()} == {0: 2 * 62, 20: 2 * 62, 40: 62, 100: 4}
-    for q, found in got.items():
-        lists = sorted(tuple(i for _, i, _ in sorted(found)[k :: len(found) // 62 or 1]) for k in range(len(found) // 62 or 1))
-        assert len(lists) in (1, 2)
-    same = [dict(rows)[q] for q in (40,)][0]
+    same = dict(rows)[40]
     want = sorted(((-float(np.dot(same, v)), i) for n, (i, v) in enumerate(rows) if len(v) == 4 and n != 40))
     assert [i for _, i, _ in sorted(got[40])] == [i for _, i in want]
     own = sorted(i for _, i, _ in got[0]).count(0)
@@ -73,8 +70,9 @@ def test_equal_vectors_tie_by_id(spark):
     x = np.random.default_rng(9).normal(size=33)
     rows = [(i, x.tolist()) for i in range(500)]
     got = vs.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 100 == 0, k=5)
-    for q, found in ((q, [r.vec_id for r in sorted(g, key=lambda r: r["rank"])]) for q, g in __import__("itertools").groupby(sorted(got.collect(), key=lambda r: r.query_id), key=lambda r: r.query_id)):
-        assert found == [i for i in range(6) if i != q][:5]
+    rows = sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect())
+    for q in range(0, 500, 100):
+        assert [v for one, _, v in rows if one == q] == [i for i in range(6) if i != q][:5]
 
 
 def test_few_vectors(spark):
