@@ -74,7 +74,8 @@ ANALYZERS: dict[str, Analyzer] = {
     "zscore_modified": _of("Z-Score (Modified/MAD)", order.zscore, 30, "zscore", modified=True),
     "shapiro_wilk": _of("Shapiro-Wilk Normality Test", order.shapiro_wilk, 20, "shapiro_wilk"),
     "persistence": _of("Persistent Homology", num.persistence, 30, "persistence"),
-    "vietoris_rips": _of("Vietoris-Rips Complex", geo.vietoris_rips, 20, "vietoris_rips"),
+    "betti": _of("Betti Numbers", num.betti_summary, 30, "betti_summary"),
+    "vietoris_rips": _of("Vietoris-Rips Complex", num.vietoris_rips, 20, "vietoris_rips"),
     "fft": _of("Fast Fourier Transform (FFT)", num.fft_features, 8),
     "psd": _of("Power Spectral Density (Welch)", num.psd_bands, 256),
     "coherence": _of("Magnitude-Squared Coherence", num.coherence_summary, 256),

@@ -60,5 +60,6 @@ READINGS = {
     "label_propagation": lambda: bands("modularity", (0.3, "strong communities"), (0.1, "weak communities"), other="no communities"),
     "small_world": lambda: bands("sigma", (1.5, "small world"), other="no small world"),
     "vietoris_rips": lambda: F.format_string("%d vertices, %d edges, %d triangles, Euler number %d", "vertices", "edges", "triangles", "euler_characteristic"),
+    "betti_summary": lambda: F.format_string("richest at scale %.4f: %d components, %d loops, Euler number %d; on average %.2f components and %.2f loops", "optimal_scale", "b0", "b1", "euler", "avg_b0", "avg_b1"),
     "persistence": lambda: F.format_string("%d components merged, %d loops, %d of them lasting", "h0_features", "h1_features", "significant_features"),
 }

@@ -7,6 +7,7 @@ Arrow function, so series are spread over the cluster and only one is in a task'
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import zlib
 from collections import Counter, deque
@@ -19,6 +20,12 @@ from pyspark.sql import DataFrame
 from driftwood.operators.windows import box_sizes
 
 
+def rounded(x: np.ndarray, digits: int = 6) -> np.ndarray:
+    """Half away from zero, as SQL rounds, and without a negative zero."""
+    x = np.asarray(x, float)
+    return np.sign(x) * np.floor(np.abs(x) * 10.0**digits + 0.5) / 10.0**digits + 0.0
+
+
 def per_series(schema: str, columns: tuple[str, ...] = ("value",)) -> Callable:
     """schema: of what the function gives, without series_id. A series that it refuses (None) has no rows."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -32,11 +39,13 @@ def per_series(schema: str, columns: tuple[str, ...] = ("value",)) -> Callable:
                 rows = [] if rows is None else [rows] if isinstance(rows, dict) else rows
                 out = pd.DataFrame(rows, columns=names)
                 for c in out.columns[out.dtypes == "float64"]:
-                    out[c] = out[c].round(6) + 0.0
+                    out[c] = rounded(out[c].to_numpy())
                 out.insert(0, "series_id", key[0])
                 return out
 
-            return series.select("series_id", "pos", *columns).groupBy("series_id").applyInPandas(group, f"series_id string, {schema}")
+            # a number of its own keeps adaptive execution from joining small partitions: series are few bytes and much work
+            parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            return series.select("series_id", "pos", *columns).repartition(parts, "series_id").groupBy("series_id").applyInPandas(group, f"series_id string, {schema}")
 
         apply.rows = f
         return apply
@@ -185,7 +194,24 @@ def density_matrix(x: np.ndarray, dim: int = 2, stride: int | None = None) -> di
         return None
     values = eigenvalues(rho)
     purity = float((values**2).sum())
-    return {"n": len(x), "purity": purity, "participation_ratio": 1 / purity, "effective_dimension": int((values > 1e-10).sum()), "eigenvalues": np.round(values, 6).tolist()}
+    return {"n": len(x), "purity": purity, "participation_ratio": 1 / purity, "effective_dimension": int((values > 1e-10).sum()), "eigenvalues": rounded(values).tolist()}
+
+
+@per_series("i int, j int, value double")
+def density_matrix_entries(x: np.ndarray, dim: int = 2, stride: int | None = None) -> list[dict] | None:
+    """A row for each entry of the density matrix."""
+    rho = density(x, dim, stride)
+    return None if rho is None else [{"i": i, "j": j, "value": rho[i, j]} for i in range(dim) for j in range(dim)]
+
+
+@per_series("hermitian_error double, trace double, is_valid boolean")
+def density_checks(x: np.ndarray, dim: int = 2, stride: int | None = None) -> dict | None:
+    """Whether the density matrix is symmetric (mean error up to 1e-6) and of trace 1 (up to 1e-4)."""
+    rho = density(x, dim, stride)
+    if rho is None:
+        return None
+    error, trace = float(np.abs(rho - rho.T).mean()), float(np.trace(rho))
+    return {"hermitian_error": error, "trace": trace, "is_valid": error <= 1e-6 and abs(trace - 1) <= 1e-4}
 
 
 def _binned_entropy(x: np.ndarray, base: float) -> float:
@@ -214,18 +240,58 @@ def partitions(n: int, strategy: str = "bipartition") -> list[list[int]]:
     return [[n * i // k for i in range(1, k)] for k in (2, 3, 4) if n >= k]
 
 
-@per_series("n long, phi double, total_entropy double, integration_ratio double, complexity double, mip array<int>, is_integrated boolean")
+def part_entropy(x: np.ndarray, dim: int = 2) -> float:
+    """The entropy of a part, of as many dimensions as it has values at most; for two in closed form."""
+    if dim != 2 or len(x) < 2:
+        return entropy_of(eigenvalues(density(x, min(len(x), dim))))
+    m = len(x) // 2
+    a, b = x[:m] - x[:m].sum() / m, x[m:] - x[m:].sum() / (len(x) - m)
+    u, v = math.sqrt(a @ a / m), math.sqrt(b @ b / (len(x) - m))
+    if u <= 1e-10 or v <= 1e-10:
+        return entropy_of(eigenvalues(density(x, 2)))
+    c = float(a @ b[:m]) / (m * u * v)
+    values = [t if (t := 1 + k * c) >= 1e-10 else 0.0 for k in (1, -1)]
+    return -sum(t / sum(values) * math.log2(t / sum(values)) for t in values if t / sum(values) > 1e-12) + 0.0
+
+
+def divisions(x: np.ndarray, dim: int, strategy: str) -> Iterator[tuple[list[int], float, float]]:
+    """Of each division its cuts, the entropy of the whole, and those of the parts together."""
+    total = part_entropy(x, dim)
+    for cuts in partitions(len(x), strategy):
+        ends = [0, *cuts, len(x)]
+        yield cuts, total, sum(part_entropy(x[a:b], dim) for a, b in itertools.pairwise(ends))
+
+
+@per_series("n long, phi double, total_entropy double, integration_ratio double, complexity double, mip array<int>, is_integrated boolean, is_reducible boolean")
 def integrated_information(x: np.ndarray, dim: int = 2, strategy: str = "bipartition", least: float = 1e-10) -> dict | None:
     """The least of entropy of the whole less entropies of the parts, over divisions; can be negative. The first division wins ties."""
     if len(x) < max(2, dim):
         return None
-    total = entropy_of(eigenvalues(density(x, dim)))
-    best, mip = math.inf, []
-    for cuts in partitions(len(x), strategy):
-        ei = total - sum(entropy_of(eigenvalues(density(p, min(len(p), dim)))) for p in np.split(x, cuts))
-        if ei < best - 1e-12:
-            best, mip = ei, cuts
-    return {"n": len(x), "phi": best, "total_entropy": total, "integration_ratio": best / total if total > 1e-10 else None, "complexity": math.sqrt(abs(best) * total), "mip": mip, "is_integrated": best > least}
+    total, best, mip = 0.0, math.inf, []
+    for cuts, total, parts in divisions(x, dim, strategy):
+        if total - parts < best - 1e-12:
+            best, mip = total - parts, cuts
+    return {"n": len(x), "phi": best, "total_entropy": total, "integration_ratio": best / total if total > 1e-10 else None, "complexity": math.sqrt(abs(best) * total), "mip": mip, "is_integrated": best > least, "is_reducible": best <= least}
+
+
+@per_series("cut int, total_entropy double, parts_entropy double, effective_information double")
+def effective_information(x: np.ndarray, dim: int = 2) -> list[dict] | None:
+    """A row for each division in two: the entropy of the whole, that of both parts, and the difference."""
+    if len(x) < max(2, dim):
+        return None
+    return [{"cut": cuts[0], "total_entropy": total, "parts_entropy": parts, "effective_information": total - parts} for cuts, total, parts in divisions(x, dim, "bipartition")]
+
+
+@per_series("size int, entropy double, entropy_first double, entropy_rest double, mutual_information double, conditional_entropy double, is_separable boolean")
+def entanglement(x: np.ndarray, sizes: tuple[int, ...] | None = None, dim: int = 2, tolerance: float = 1e-6) -> list[dict] | None:
+    """For subsystems of the first `size` values (half of them, if none is given) and the rest: entropies S(A) and S(B),
+    S(A) + S(B) - S(AB), S(AB) - S(B), and whether S(AB) is S(A) + S(B)."""
+    sizes = sizes or (len(x) // 2,)
+    if len(x) < max(2, dim) or max(sizes) >= len(x) or min(sizes) < 1:
+        return None
+    whole = part_entropy(x, dim)
+    ends = [(k, part_entropy(x[:k], dim), part_entropy(x[k:], dim)) for k in sizes]
+    return [{"size": k, "entropy": whole, "entropy_first": a, "entropy_rest": b, "mutual_information": a + b - whole, "conditional_entropy": whole - b, "is_separable": abs(whole - a - b) < tolerance} for k, a, b in ends]
 
 
 # --- compression ----------------------------------------------------------------------------------------------------
@@ -434,17 +500,17 @@ def graph_paths(x: np.ndarray, kind: str = "natural", most: int = 1000) -> dict
     return {"nodes": len(x), "diameter": diameter if len(x) < most else None, "average_path_length": mean, "components": parts}
 
 
-def closeness(near: list[list[int]]) -> np.ndarray:
+def closeness(near: list[list[int]], steps: np.ndarray | None = None) -> np.ndarray:
     """Nodes that can be reached, by the sum of steps to them."""
-    rows = all_hops(near)[1] if len(near) <= DENSE else (hops(near, i) for i in range(len(near)))
+    rows = steps if steps is not None else all_hops(near)[1] if len(near) <= DENSE else (hops(near, i) for i in range(len(near)))
     return np.array([(d > 0).sum() / d[d > 0].sum() if (d > 0).any() else 0.0 for d in rows])
 
 
-def betweenness(near: list[list[int]]) -> np.ndarray:
+def betweenness(near: list[list[int]], searched: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Shares of shortest ways through each node over ordered pairs, by (n - 1)(n - 2) / 2: twice the undirected standard, as the
     reference results are. Shares are gathered from the farthest nodes inwards, for all sources at once."""
     n = len(near)
-    link, steps, ways = all_hops(near)
+    link, steps, ways = searched or all_hops(near)
     share = np.zeros((n, n))  # of source and node
     for k in range(int(steps.max()), 0, -1):
         at = steps == k
@@ -457,8 +523,10 @@ def eigenvector(near: list[list[int]], rounds: int = 100, tolerance: float = 1e-
     """Power iteration to unit length."""
     n = len(near)
     x = np.full(n, 1 / math.sqrt(n))
+    size = np.array([len(a) for a in near])
+    ends, owner = np.concatenate([*map(np.asarray, near), np.zeros(0)]).astype(int), np.repeat(np.arange(n), size)
     for _ in range(rounds):
-        y = np.array([x[a].sum() for a in near])
+        y = np.bincount(owner, x[ends], n)
         size = np.linalg.norm(y)
         if size < 1e-10:
             break
@@ -475,7 +543,8 @@ def centralities(x: np.ndarray, kind: str = "mean", most_betweenness: int = 200)
     if len(x) < 5:
         return None
     near = adjacency(x, kind)
-    found = {"closeness": closeness(near), "eigenvector": eigenvector(near)} | ({"betweenness": betweenness(near)} if len(x) < most_betweenness else {})
+    searched = all_hops(near) if len(near) <= DENSE else None  # for both
+    found = {"closeness": closeness(near, searched and searched[1]), "eigenvector": eigenvector(near)} | ({"betweenness": betweenness(near, searched)} if len(x) < most_betweenness else {})
     return [{"measure": k, "average": c.mean(), "variance": c.var(), "centralization": (c.max() - c).sum() / (len(c) - 1)} for k, c in found.items()]
 
 
@@ -511,6 +580,15 @@ def label_propagation(x: np.ndarray, kind: str = "deviation") -> dict | None:
     return {"communities": len(set(labels.tolist())), "largest": int(np.bincount(labels).max()), "modularity": quality(near, labels)}
 
 
+@per_series("community int, size int")
+def community_sizes(x: np.ndarray, kind: str = "deviation") -> list[dict] | None:
+    """A row for each community of label propagation, named by its label."""
+    if len(x) < 5:
+        return None
+    names, sizes = np.unique(spread_labels(adjacency(x, kind)), return_counts=True)
+    return [{"community": c, "size": k} for c, k in zip(names.tolist(), sizes.tolist(), strict=True)]
+
+
 def _clustering(near: list[list[int]]) -> float:
     sets = [set(a) for a in near]
     local = [sum(len(sets[j] & s) for j in s) / (len(s) * (len(s) - 1)) for s in sets if len(s) > 1]
@@ -609,6 +687,52 @@ def persistence(x: np.ndarray, steps: int = 50, threshold: float = 0.1, dim: int
     return {"n_points": len(points), "h0_features": len(lives), "h1_features": n1, "max_persistence": most, "avg_persistence": total / count if count else 0.0, "significant_features": significant, "max_filtration": grid[-1]}
 
 
+@per_series("dimension int, birth double, death double, persistence double, is_significant boolean")
+def persistence_pairs(x: np.ndarray, steps: int = 50, dim: int = 0, threshold: float = 0.1, least: float = 0.0) -> Iterator[dict] | None:
+    """The features that persistence() counts, a row each: those of dimension 0 with death above 0, and with dim = 1 each pair
+    at every step at which it closes no component. Only those that last longer than `least`."""
+    if len(x) < 30:
+        return None
+    points = planar(x)
+    pairs, merges, step, grid = _grid_merges(points, steps)
+    rows = [(0, 0.0, g) for g in grid[step] if g > 0]
+    if dim >= 1:
+        for k, e in enumerate(grid):
+            inside = Counter(pairs[: np.searchsorted(pairs, e, side="right")].tolist())
+            inside.subtract(merges[step == k].tolist())
+            rows += [(1, d, 1.5 * e) for d, many in inside.items() for _ in range(many)]
+    return [{"dimension": k, "birth": a, "death": b, "persistence": b - a, "is_significant": b - a > threshold} for k, a, b in rows if b - a > least]
+
+
+@per_series("vertices long, edges long, triangles long, euler_characteristic long, total_simplices long, max_dimension int, edge_density double, avg_birth_step double")
+def vietoris_rips(x: np.ndarray, steps: int = 30) -> dict | None:
+    """As geometry.vietoris_rips, whose SQL is its twin. An edge's step is that of its length; the triangles within a step are
+    counted by a product of its links, so no triple is ever listed."""
+    tau = min(5, max(1, len(x) // 10))
+    if len(x) <= tau:
+        return None
+    points = np.stack([x[:-tau], x[tau:]], axis=1)
+    n = len(points)
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    most = d.max(initial=0.0)
+    first = np.full((n, n), steps + 1)
+    if most > 0:
+        near = d <= 0.75 * most
+        first[near] = np.maximum(1, np.ceil(d[near] / (0.75 * most) * steps - 1e-9)).astype(int)
+    np.fill_diagonal(first, steps + 1)
+    e_at = np.bincount(first[np.triu_indices(n, 1)], minlength=steps + 2)[: steps + 1]
+    t_in = [0]
+    for k in range(1, steps + 1):
+        link = (first <= k).astype(np.float64)
+        t_in.append(round(float(((link @ link) * link).sum()) / 6))
+    t_at = np.diff(t_in, prepend=0)
+    held, born = np.arange(steps + 1, 0, -1), np.arange(steps + 1)  # steps that hold what comes at a step; it counts at each
+    held[0] = 0
+    e, t = int((e_at * held).sum()), int((t_at * held).sum())
+    sums = ((e_at + t_at) * held * (steps + born)).sum() / 2
+    return {"vertices": n, "edges": e, "triangles": t, "euler_characteristic": n - e + t, "total_simplices": n + e + t, "max_dimension": 2 if t else 1 if e else 0, "edge_density": min(1.0, e / (n * (n - 1) / 2)) if n > 1 else 0.0, "avg_birth_step": sums / (n + e + t)}
+
+
 @per_series("step int, scale double, b0 int, b1 int, b2 int, euler int, total_features int")
 def betti_curve(x: np.ndarray, scales: int = 20) -> list[dict] | None:
     """A row for each scale up to three quarters of the largest distance of the scaled points."""
@@ -626,6 +750,17 @@ def betti_curve(x: np.ndarray, scales: int = 20) -> list[dict] | None:
     return out
 
 
+@per_series("optimal_step int, optimal_scale double, b0 int, b1 int, euler int, complexity double, avg_b0 double, avg_b1 double, trivial_scales int")
+def betti_summary(x: np.ndarray, scales: int = 20) -> dict | None:
+    """The scale of greatest complexity (loops and twice the voids; the first of equal ones, and the first of all if there are
+    none), means over the scales, and at how many there is one component without a loop."""
+    curve = betti_curve.rows(x, scales)
+    if curve is None:
+        return None
+    top = max(curve, key=lambda r: r["b1"] + 2 * r["b2"])
+    return {"optimal_step": top["step"], "optimal_scale": top["scale"], "b0": top["b0"], "b1": top["b1"], "euler": top["euler"], "complexity": top["b1"] + 2 * top["b2"], "avg_b0": np.mean([r["b0"] for r in curve]), "avg_b1": np.mean([r["b1"] for r in curve]), "trivial_scales": sum(r["b0"] == 1 and r["total_features"] == 1 for r in curve)}
+
+
 # --- samplers -------------------------------------------------------------------------------------------------------
 
 
@@ -666,7 +801,15 @@ def effective_size(x: np.ndarray) -> float:
 @per_series("mean double, std_dev double, acceptance_rate double, effective_sample_size double")
 def metropolis_hastings(x: np.ndarray, iterations: int = 10_000, burn_in: int = 1000, seed: int = 0) -> dict:
     """The posterior of a normal mean with a flat prior and the series' own variance; one chain for each series."""
-    mu, var = x.mean(), x.var() / len(x)
-    chain, rate = metropolis(lambda t: -((t[0] * math.sqrt(var)) ** 2) / (2 * var), 1, iterations, burn_in, step=2.4, seed=seed)
-    c = chain[:, 0] * math.sqrt(var) + mu
-    return {"mean": c.mean(), "std_dev": c.std(ddof=1), "acceptance_rate": rate, "effective_sample_size": effective_size(c)}
+    mu, sd = x.mean(), math.sqrt(x.var() / len(x))
+    # as metropolis() with log density -t t / 2, in plain numbers
+    rng = np.random.default_rng(seed)
+    jumps, chances = (2.4 * rng.normal(size=iterations)).tolist(), np.log(rng.random(iterations)).tolist()
+    at, accepted, chain = 0.0, 0, []
+    for jump, chance in zip(jumps, chances, strict=True):
+        to = at + jump
+        if chance < (at * at - to * to) / 2:
+            at, accepted = to, accepted + 1
+        chain.append(at)
+    c = np.array(chain[burn_in:]) * sd + mu
+    return {"mean": c.mean(), "std_dev": c.std(ddof=1), "acceptance_rate": accepted / iterations, "effective_sample_size": effective_size(c)}

@@ -24,11 +24,11 @@ class Entry(NamedTuple):
     view: Callable
     config: dict = {}
     text: str | None = None  # the twin of an operator that isn't SQL itself
-    columns: tuple[str, ...] = ()  # those that the twin has, if not all
+    columns: tuple[str, ...] = ()  # as the twin has them, if arrays are taken apart
 
     def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         out = self.operator(series(spark, sf_dir, self.view), **self.config)
-        return out.select(*self.columns) if self.columns else out
+        return out.selectExpr(*self.columns) if self.columns else out
 
     def twin(self) -> str | None:
         text = self.operator.sql(DUCK, "src", **self.config) if hasattr(self.operator, "sql") else self.text
@@ -89,10 +89,10 @@ ENTRIES: dict[str, Entry] = {
     "lyapunov_exponent": Entry(geo.lyapunov_exponent, views.hourly),
     "correlation_curve": Entry(geo.correlation_curve, views.hourly),
     "correlation_dimension": Entry(geo.correlation_dimension, views.hourly),
-    "correlation_dimensions": Entry(geo.correlation_dimensions, views.hourly, {"most": 4}),
+    "correlation_dimensions": Entry(geo.correlation_dimensions, views.hourly),
     "fnn_fraction": Entry(geo.fnn_fraction, views.by_user),
     "planar_edges_filtration": Entry(geo.filtration_edges, views.by_user),
-    "vietoris_rips": Entry(geo.vietoris_rips, views.by_user, {"steps": 30}),
+    "vietoris_rips": Entry(num.vietoris_rips, views.by_user, {}, geo.vietoris_rips.sql(DUCK, "src")),
     "nvg_edges": Entry(net.graph_edges, views.by_user, {"kind": "natural"}),
     "hvg_edges": Entry(net.graph_edges, views.by_user, {"kind": "horizontal"}),
     "visibility_degrees": Entry(net.degree_distribution, views.by_user),
@@ -116,18 +116,22 @@ ENTRIES: dict[str, Entry] = {
     "draw_normalization": Entry(draws.draw_normalization, views.draws),
     "draw_candidates": Entry(draws.draw_candidates, views.draws),
     "draw_critical_path": Entry(draws.critical_path, views.draws),
-    "fft_spectrum": Entry(num.fft_spectrum, views.hourly, {}, twins.fft_power(), ("series_id", "k", "frequency", "magnitude", "power")),
-    "fft_phase": Entry(num.fft_spectrum, views.by_user),
+    "fft_spectrum": Entry(num.fft_spectrum, views.hourly, {}, twins.fft_power()),
+    "fft_phase": Entry(num.fft_spectrum, views.by_user, {}, twins.fft_power()),
     "fft_features": Entry(num.fft_features, views.by_user, {}, twins.fft_features()),
     "psd_welch": Entry(num.psd_welch, views.hourly, {}, twins.psd_welch()),
-    "periodogram": Entry(num.periodogram, views.by_user),
-    "psd_bands": Entry(num.psd_bands, views.hourly),
+    "periodogram": Entry(num.periodogram, views.by_user, {}, twins.periodogram()),
+    "psd_bands": Entry(num.psd_bands, views.hourly, {}, twins.psd_bands()),
     "coherence": Entry(num.coherence, views.pairs_long, {}, twins.coherence()),
-    "coherence_summary": Entry(num.coherence_summary, views.pairs_long),
-    "density_matrix": Entry(num.density_matrix, views.by_user, {}, twins.density_matrix(), ("series_id", "n", "purity", "participation_ratio")),
+    "coherence_summary": Entry(num.coherence_summary, views.pairs_long, {}, twins.coherence_summary()),
+    "density_matrix": Entry(num.density_matrix, views.by_user, {}, twins.density_matrix(), ("series_id", "n", "purity", "participation_ratio", "effective_dimension", "eigenvalues[0] AS eigenvalue_1", "eigenvalues[1] AS eigenvalue_2")),
+    "density_matrix_entries": Entry(num.density_matrix_entries, views.by_user, {}, twins.density_matrix_entries()),
+    "density_checks": Entry(num.density_checks, views.by_user, {}, twins.density_checks()),
     "density_matrix_embedded": Entry(num.density_matrix, views.by_user, {"dim": 3, "stride": 2}),
-    "von_neumann_entropy": Entry(num.von_neumann_entropy, views.by_user, {}, twins.von_neumann_entropy(), ("series_id", "n", "von_neumann_entropy")),
-    "integrated_information": Entry(num.integrated_information, views.by_user),
+    "von_neumann_entropy": Entry(num.von_neumann_entropy, views.by_user, {}, twins.von_neumann_entropy()),
+    "integrated_information": Entry(num.integrated_information, views.by_user, {}, twins.integrated_information(), ("series_id", "n", "phi", "total_entropy", "integration_ratio", "complexity", "mip[0] AS mip_cut", "is_integrated", "is_reducible")),
+    "effective_information": Entry(num.effective_information, views.by_user, {}, twins.effective_information()),
+    "entanglement": Entry(num.entanglement, views.by_user, {}, twins.entanglement()),
     "kolmogorov_complexity": Entry(num.kolmogorov_complexity, views.by_user),
     "compression_distance": Entry(num.compression_distance, views.pairs_long),
     "dfa_quadratic": Entry(num.dfa_polynomial, views.daily, {"order": 2}),
@@ -136,11 +140,12 @@ ENTRIES: dict[str, Entry] = {
     "graph_paths": Entry(num.graph_paths, views.by_user),
     "centralities": Entry(num.centralities, views.by_user),
     "label_propagation": Entry(num.label_propagation, views.by_user),
-    "small_world": Entry(num.small_world, views.by_user, {"graphs": 3}),
+    "small_world": Entry(num.small_world, views.by_user),
     "persistence": Entry(num.persistence, views.by_user),
     "betti_curve": Entry(num.betti_curve, views.by_user),
+    "betti_summary": Entry(num.betti_summary, views.by_user),
     "dirichlet_credible": Entry(num.dirichlet_credible, views.categories),
-    "metropolis_hastings": Entry(num.metropolis_hastings, views.by_type, {"iterations": 4000}),
+    "metropolis_hastings": Entry(num.metropolis_hastings, views.by_type),
 }
 
 

@@ -19,7 +19,11 @@ z AS (SELECT series_id, n, k, sum(value * {_HANN} * cos(2 * pi() * ((k * pos) %
 
 
 def fft_power() -> str:
-    return f"WITH {fft_spectrum()} SELECT series_id, cast(k AS int) AS k, {_r('k / n')} AS frequency, {_r('sqrt(re * re + im * im)')} AS magnitude, {_r('(re * re + im * im) / n')} AS power FROM z"
+    return f"WITH {fft_spectrum()} SELECT series_id, cast(k AS int) AS k, {_r('k / n')} AS frequency, {_r('re')} AS re, {_r('im')} AS im, {_r('sqrt(re * re + im * im)')} AS magnitude, {_r('(re * re + im * im) / n')} AS power, {_r('atan2(im + 0e0, re)')} AS phase FROM z"
+
+
+def periodogram() -> str:
+    return f"WITH {fft_spectrum()} SELECT series_id, cast(k AS int) AS k, {_r('k / n')} AS frequency, {_r('(re * re + im * im) / n')} AS psd FROM z"
 
 
 def fft_features() -> str:
@@ -32,31 +36,97 @@ k AS (SELECT unnest(range(0, 128)) AS k)"""
 _IN_SEGMENT = "JOIN seg t ON t.series_id = s.series_id AND s.pos >= 128 * g AND s.pos < 128 * g + 256"
 
 
+def _welch() -> str:
+    return f"""{_SEGMENTS}, w AS (SELECT sum(power(0.5 - 0.5 * cos(2 * pi() * i / 255), 2)) AS w FROM range(0, 256) r(i)), x AS (SELECT s.series_id, g, s.pos - 128 * g AS pos, n, value FROM src s {_IN_SEGMENT}),
+z AS (SELECT series_id, g, k, sum(value * {_HANN} * cos(2 * pi() * ((k * pos) % 256) / 256)) AS re, sum(value * {_HANN} * sin(2 * pi() * ((k * pos) % 256) / 256)) AS im FROM x CROSS JOIN k GROUP BY series_id, g, k),
+p AS (SELECT series_id, k, k / 256 AS f, avg(re * re + im * im) / 256 * (256 / max(w)) AS p FROM z CROSS JOIN w GROUP BY series_id, k)"""
+
+
 def psd_welch() -> str:
-    return f"""WITH {_SEGMENTS}, w AS (SELECT sum(power(0.5 - 0.5 * cos(2 * pi() * i / 255), 2)) AS w FROM range(0, 256) r(i)), x AS (SELECT s.series_id, g, s.pos - 128 * g AS pos, n, value FROM src s {_IN_SEGMENT}),
-z AS (SELECT series_id, g, k, sum(value * {_HANN} * cos(2 * pi() * ((k * pos) % 256) / 256)) AS re, sum(value * {_HANN} * sin(2 * pi() * ((k * pos) % 256) / 256)) AS im FROM x CROSS JOIN k GROUP BY series_id, g, k)
-SELECT series_id, cast(k AS int) AS k, {_r('k / 256')} AS frequency, {_r('avg(re * re + im * im) / 256 * (256 / max(w))')} AS psd FROM z CROSS JOIN w GROUP BY series_id, k"""
+    return f"WITH {_welch()} SELECT series_id, cast(k AS int) AS k, {_r('f')} AS frequency, {_r('p')} AS psd FROM p"
 
 
-def coherence() -> str:
+#: The bands end at 0.3, 0.6 and 1 of half the sampling rate.
+_BANDS = {"low_band": (0, 0.3), "mid_band": (0.3, 0.6), "high_band": (0.6, 1)}
+
+
+def _in_bands(of: str) -> str:
+    return ", ".join(f"{_r(of.format(f'f >= {a} * 0.5 AND f <= {b} * 0.5'))} AS {name}" for name, (a, b) in _BANDS.items())
+
+
+def psd_bands() -> str:
+    return f"WITH {_welch()} SELECT series_id, {_r('max_by(f, CASE WHEN k > 0 THEN p ELSE -1 END)')} AS peak_frequency, {_r('max(CASE WHEN k > 0 THEN p END)')} AS peak_power, {_r('sum(p) / 256')} AS total_power, {_in_bands('sum(CASE WHEN {} THEN p ELSE 0 END) / 256')} FROM p GROUP BY series_id"
+
+
+def _coherence() -> str:
     part = lambda v, f: f"sum({v} * {_HANN} * {f}(2 * pi() * ((k * pos) % 256) / 256))"
-    return f"""WITH {_SEGMENTS}, v AS (SELECT s.series_id, g, s.pos - 128 * g AS pos, n, x, y FROM src s {_IN_SEGMENT}),
+    return f"""{_SEGMENTS}, v AS (SELECT s.series_id, g, s.pos - 128 * g AS pos, n, x, y FROM src s {_IN_SEGMENT}),
 z AS (SELECT series_id, g, k, {part('x', 'cos')} AS xr, -{part('x', 'sin')} AS xi, {part('y', 'cos')} AS yr, -{part('y', 'sin')} AS yi FROM v CROSS JOIN k GROUP BY series_id, g, k),
-c AS (SELECT series_id, k, avg(xr * xr + xi * xi) * avg(yr * yr + yi * yi) AS both_, power(avg(xr * yr + xi * yi), 2) + power(avg(xi * yr - xr * yi), 2) AS shared FROM z GROUP BY series_id, k)
-SELECT series_id, cast(k AS int) AS k, {_r('k / 256')} AS frequency, {_r('CASE WHEN both_ > 0 THEN least(1, shared / both_) ELSE 0 END')} AS coherence FROM c"""
+c AS (SELECT series_id, k, avg(xr * xr + xi * xi) * avg(yr * yr + yi * yi) AS both_, power(avg(xr * yr + xi * yi), 2) + power(avg(xi * yr - xr * yi), 2) AS shared FROM z GROUP BY series_id, k),
+p AS (SELECT series_id, k, k / 256 AS f, CASE WHEN both_ > 0 THEN least(1, shared / both_) ELSE 0 END AS p FROM c)"""
+
+
+def coherence() -> str:
+    return f"WITH {_coherence()} SELECT series_id, cast(k AS int) AS k, {_r('f')} AS frequency, {_r('p')} AS coherence FROM p"
+
+
+def coherence_summary() -> str:
+    return f"WITH {_coherence()} SELECT series_id, {_r('avg(p)')} AS mean_coherence, {_r('max(CASE WHEN k > 0 THEN p END)')} AS peak_coherence, {_r('max_by(f, CASE WHEN k > 0 THEN p ELSE -1 END)')} AS peak_frequency, {_in_bands('avg(CASE WHEN {} THEN p END)')} FROM p GROUP BY series_id"
 
 
 def _halves() -> str:
     """The off-diagonal of the two-part density matrix; its eigenvalues are (1 + c) / 2 and (1 - c) / 2."""
     return """h AS (SELECT series_id, pos, value, n, CASE WHEN pos < n // 2 THEN 0 ELSE 1 END AS half FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM src) q),
 u AS (SELECT series_id, n, half, pos - half * (n // 2) AS i, (value - avg(value) OVER (PARTITION BY series_id, half)) / stddev_pop(value) OVER (PARTITION BY series_id, half) AS u FROM h),
-c AS (SELECT a.series_id, a.n, abs(avg(a.u * b.u)) AS c FROM u a JOIN u b ON b.series_id = a.series_id AND b.half = 1 AND a.half = 0 AND b.i = a.i GROUP BY a.series_id, a.n)"""
+c AS (SELECT a.series_id, a.n, avg(a.u * b.u) AS signed_c, abs(avg(a.u * b.u)) AS c FROM u a JOIN u b ON b.series_id = a.series_id AND b.half = 1 AND a.half = 0 AND b.i = a.i GROUP BY a.series_id, a.n)"""
 
 
 def density_matrix() -> str:
-    return f"WITH {_halves()} SELECT series_id, cast(n AS bigint) AS n, {_r('(1 + c * c) / 2')} AS purity, {_r('2 / (1 + c * c)')} AS participation_ratio FROM c"
+    return f"WITH {_halves()} SELECT series_id, cast(n AS bigint) AS n, {_r('(1 + c * c) / 2')} AS purity, {_r('2 / (1 + c * c)')} AS participation_ratio, cast(CASE WHEN (1 - c) / 2 > 1e-10 THEN 2 ELSE 1 END AS int) AS effective_dimension, {_r('(1 + c) / 2')} AS eigenvalue_1, {_r('(1 - c) / 2')} AS eigenvalue_2 FROM c"
+
+
+def density_matrix_entries() -> str:
+    return f"WITH {_halves()}, places AS (SELECT unnest([0, 0, 1, 1]) AS i, unnest([0, 1, 0, 1]) AS j) SELECT series_id, cast(i AS int) AS i, cast(j AS int) AS j, {_r('CASE WHEN i = j THEN 0.5 ELSE signed_c / 2 END')} AS value FROM c CROSS JOIN places"
+
+
+def density_checks() -> str:
+    return f"WITH {_halves()} SELECT series_id, 0e0 AS hermitian_error, 1e0 AS trace, true AS is_valid FROM c"
+
+
+def _nats(x: str) -> str:
+    return f"(CASE WHEN {x} > 1e-12 THEN -{x} * log2({x}) ELSE 0 END)"
 
 
 def von_neumann_entropy() -> str:
-    part = lambda x: f"(CASE WHEN {x} > 1e-12 THEN -{x} * log2({x}) ELSE 0 END)"
-    return f"WITH {_halves()} SELECT series_id, cast(n AS bigint) AS n, {_r(part('(1 + c) / 2') + ' + ' + part('(1 - c) / 2'))} AS von_neumann_entropy FROM c"
+    s = _nats("((1 + c) / 2)") + " + " + _nats("((1 - c) / 2)")
+    return f"""WITH {_halves()}, lim AS (SELECT series_id, count(*) AS n, ceil(sqrt(count(*))) AS k, min(value) AS low, max(value) AS high FROM src GROUP BY series_id),
+bins AS (SELECT s.series_id, least(k - 1, floor((value - low) / ((high - low) / k))) AS bin, count(*) / max(n) AS share FROM src s JOIN lim USING (series_id) WHERE high - low >= 1e-10 GROUP BY s.series_id, 2),
+shannon AS (SELECT series_id, sum({_nats('share')}) AS h FROM bins GROUP BY series_id)
+SELECT c.series_id, cast(n AS bigint) AS n, {_r(s)} AS von_neumann_entropy, {_r('coalesce(h, 0)')} AS shannon_entropy, 1e0 AS max_entropy, {_r(s)} AS normalized_entropy, {_r(f'power(2, -({s}))')} AS purity_from_entropy FROM c LEFT JOIN shannon USING (series_id)"""
+
+
+def _divided() -> str:
+    """s: of each series and cut (0: none) the entropy of the values before and behind it, each part halved again."""
+    return f"""sizes AS (SELECT series_id, count(*) AS n FROM src GROUP BY series_id HAVING count(*) >= 2), cuts AS (SELECT series_id, n, unnest(range(1, n)) AS t FROM sizes),
+segs AS (SELECT series_id, n, 0 AS t, 0 AS kind, 0 AS lo, n AS len FROM sizes UNION ALL SELECT series_id, n, t, 1, 0, t FROM cuts UNION ALL SELECT series_id, n, t, 2, t, n - t FROM cuts),
+h AS (SELECT g.series_id, n, t, kind, len, CASE WHEN pos - lo < len // 2 THEN 0 ELSE 1 END AS half, pos - lo - CASE WHEN pos - lo < len // 2 THEN 0 ELSE len // 2 END AS i, value FROM segs g JOIN src x ON x.series_id = g.series_id AND pos >= lo AND pos < lo + len),
+u AS (SELECT *, (value - avg(value) OVER w) / (CASE WHEN stddev_pop(value) OVER w > 1e-10 THEN stddev_pop(value) OVER w ELSE 1 END) AS u FROM h WINDOW w AS (PARTITION BY series_id, t, kind, half)),
+d AS (SELECT series_id, n, t, kind, len, avg(CASE WHEN half = 0 THEN u * u END) AS d0, avg(CASE WHEN half = 1 THEN u * u END) AS d1 FROM u GROUP BY series_id, n, t, kind, len),
+x AS (SELECT a.series_id, a.t, a.kind, avg(a.u * b.u) AS c FROM u a JOIN u b ON b.series_id = a.series_id AND b.t = a.t AND b.kind = a.kind AND a.half = 0 AND b.half = 1 AND a.i = b.i GROUP BY a.series_id, a.t, a.kind),
+l AS (SELECT d.*, (d0 + d1) / 2 + sqrt(power((d0 - d1) / 2, 2) + c * c) AS l1, (d0 + d1) / 2 - sqrt(power((d0 - d1) / 2, 2) + c * c) AS l2 FROM d LEFT JOIN x USING (series_id, t, kind)),
+q AS (SELECT *, CASE WHEN l1 < 1e-10 THEN 0 ELSE l1 END AS p1, CASE WHEN l2 < 1e-10 THEN 0 ELSE l2 END AS p2 FROM l),
+s AS (SELECT series_id, n, t, kind, CASE WHEN len = 1 THEN 0 WHEN p1 + p2 < 1e-10 THEN 1 ELSE {_nats('(p1 / (p1 + p2))')} + {_nats('(p2 / (p1 + p2))')} END AS s FROM q),
+e AS (SELECT s.series_id, s.n, s.t, w.s AS whole, sum(s.s) AS parts, sum(CASE WHEN s.kind = 1 THEN s.s ELSE 0 END) AS first, sum(CASE WHEN s.kind = 2 THEN s.s ELSE 0 END) AS rest FROM s JOIN s w ON w.series_id = s.series_id AND w.t = 0 WHERE s.t > 0 GROUP BY s.series_id, s.n, s.t, w.s)"""
+
+
+def integrated_information() -> str:
+    return f"""WITH {_divided()}, best AS (SELECT series_id AS sid, min(whole - parts) AS phi FROM e GROUP BY series_id), f AS (SELECT series_id, n, whole, phi, min(t) AS cut FROM e JOIN best ON sid = series_id WHERE whole - parts <= phi + 1e-12 GROUP BY series_id, n, whole, phi)
+SELECT series_id, cast(n AS bigint) AS n, {_r('phi')} AS phi, {_r('whole')} AS total_entropy, {_r('CASE WHEN whole > 1e-10 THEN phi / whole END')} AS integration_ratio, {_r('sqrt(abs(phi) * whole)')} AS complexity, cast(cut AS int) AS mip_cut, phi > 1e-10 AS is_integrated, phi <= 1e-10 AS is_reducible FROM f"""
+
+
+def effective_information() -> str:
+    return f"WITH {_divided()} SELECT series_id, cast(t AS int) AS cut, {_r('whole')} AS total_entropy, {_r('parts')} AS parts_entropy, {_r('whole - parts')} AS effective_information FROM e"
+
+
+def entanglement() -> str:
+    return f"WITH {_divided()} SELECT series_id, cast(t AS int) AS size, {_r('whole')} AS entropy, {_r('first')} AS entropy_first, {_r('rest')} AS entropy_rest, {_r('first + rest - whole')} AS mutual_information, {_r('whole - rest')} AS conditional_entropy, abs(whole - first - rest) < 1e-6 AS is_separable FROM e WHERE t = n // 2"

@@ -1,6 +1,7 @@
 """Runs catalog queries against their DuckDB twins and reports every difference."""
 
 import math
+import os
 import sys
 import time
 import traceback
@@ -13,7 +14,7 @@ def duck(sf_dir):
 
     con = duckdb.connect()
     for t in TABLES:
-        con.sql(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet{'/*' if __import__('os').path.isdir(f'{sf_dir}/{t}.parquet') else ''}')")
+        con.sql(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet{'/*' if os.path.isdir(f'{sf_dir}/{t}.parquet') else ''}')")
     return con
 
 
@@ -21,7 +22,7 @@ def same(a, b):
     if isinstance(a, float) or isinstance(b, float):
         if a is None or b is None:
             return a is None and b is None
-        return a == b or (math.isnan(a) and math.isnan(b)) or abs(a - b) <= 2e-6 * max(1.0, abs(a))
+        return a == b or (math.isnan(a) and math.isnan(b)) or abs(a - b) <= 1e-9 * max(1.0, abs(a))
     return a == b
 
 
@@ -44,6 +45,9 @@ def difference(spark, con, sf_dir, query, sql):
 if __name__ == "__main__":
     from pyspark.sql import SparkSession
 
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sys.path.insert(0, root)
+    os.environ["PYTHONPATH"] = os.pathsep.join([root, os.environ.get("PYTHONPATH", "")])
     from driftwood.plans import catalog
 
     spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
