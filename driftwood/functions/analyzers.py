@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -12,9 +13,16 @@ from driftwood.functions.results import READINGS, to_result
 from driftwood.operators import distributions as dist, geometry as geo, networks as net, numeric as num, order_statistics as order, windows as win
 
 
+class InvalidParameter(ValueError):
+    def __init__(self, name: str, value: object, constraint: str):
+        super().__init__(f"parameter {name} is {value!r}, must be {constraint}")
+        self.name, self.value, self.constraint = name, value, constraint
+
+
 @dataclass(frozen=True)
 class Analyzer:
-    """config overrides the operator's defaults. A series shorter than least has status insufficient_data and no metrics."""
+    """config overrides the operator's defaults. A series shorter than least has status insufficient_data and no metrics, one
+    with a value that isn't finite has validation, and one that the operator refuses has analysis_failed."""
 
     framework: str
     operator: Callable[..., DataFrame]
@@ -23,6 +31,13 @@ class Analyzer:
     config: dict = field(default_factory=dict)
 
     def configured(self, **config) -> Analyzer:
+        """With other settings of the operator; InvalidParameter for names that it doesn't know and for numbers below 0."""
+        known = inspect.signature(getattr(self.operator, "rows", None) or inspect.unwrap(self.operator)).parameters
+        for name, value in config.items():
+            if name not in known:
+                raise InvalidParameter(name, value, f"one of {sorted(set(known) - {'d', 's', 'x', 'y'})}")
+            if isinstance(value, (int, float)) and not isinstance(value, bool) and value < 0:
+                raise InvalidParameter(name, value, "0 or more")
         return Analyzer(self.framework, self.operator, self.least, self.reading, self.config | config)
 
     def validate(self, series: DataFrame) -> DataFrame:
@@ -42,9 +57,9 @@ class Analyzer:
         told = to_result(self.operator(series, **self.config), self.framework, self.reading() if self.reading else None)
         checked = self.validate(series).select("series_id", F.col("status").alias("checked"))
         joined = checked.join(told, "series_id", "left")
-        ok = (F.col("checked") == "ok") & (F.coalesce("status", F.lit("ok")) == "ok")
+        ok = (F.col("checked") == "ok") & F.coalesce(F.col("status") == "ok", F.lit(False))
         kept = [F.when(ok, F.col(c)).alias(c) for c in ("metrics", "p_value", "interpretation", "metadata")]
-        return joined.select("series_id", F.lit(self.framework).alias("framework"), F.when(F.col("checked") != "ok", F.col("checked")).otherwise(F.coalesce("status", "checked")).alias("status"), *kept)
+        return joined.select("series_id", F.lit(self.framework).alias("framework"), F.when(F.col("checked") != "ok", F.col("checked")).otherwise(F.coalesce("status", F.lit("analysis_failed"))).alias("status"), *kept)
 
 
 def _of(framework: str, operator: Callable, least: int, reading: str | None = None, **config) -> Analyzer:

@@ -26,8 +26,15 @@ def parse_date(text: Column) -> Column:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """With id, the 0-based number of the row in its file."""
-    return df.withColumn("__line", F.monotonically_increasing_id()).withColumn("id", F.row_number().over(Window.orderBy("__line")) - 1).drop("__line")
+    """With id, the 0-based number of the row in its file; of several files, those of one partition follow the other's.
+
+    Rows are numbered in their partitions, and what stands in the partitions before is added (a row a partition).
+    """
+    in_part = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    marked = df.withColumns({"__part": F.spark_partition_id(), "__line": in_part})
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return marked.join(F.broadcast(starts), "__part").withColumn("id", F.col("__start") + F.col("__line")).drop("__part", "__line", "__start")
 
 
 def read_series_csv(spark: SparkSession, path: str, series_id: str | None = None) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def running_statistics(stream: DataFrame) -> DataFrame:
@@ -27,3 +31,30 @@ def chi_squared_of(histogram: DataFrame, bins: int) -> DataFrame:
     """Chi-squared against uniformity of a histogram's counts (a batch frame, such as a sink's table)."""
     sums = histogram.groupBy("series_id").agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("squares"))
     return sums.select("series_id", "n", (F.col("squares") * bins / F.col("n") - F.col("n")).alias("chi_squared"), F.lit(bins - 1).alias("dof"))
+
+
+def resettable_statistics(stream: DataFrame) -> DataFrame:
+    """The current result of each series after each batch: series_id, n, mean, std_dev, min, max since its last reset.
+
+    The stream has series_id, ts, value and reset; a row with reset true starts the series anew, its own value left out.
+    Rows of a batch count in the order of ts. The state of a series is five numbers.
+    """
+    schema = "n long, mean double, m2 double, low double, high double"
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, mean, m2, low, high = state.get if state.exists else (0, 0.0, 0.0, float("inf"), float("-inf"))
+        rows = pd.concat(list(parts)).sort_values("ts", kind="stable")
+        for value, reset in zip(rows["value"].tolist(), rows["reset"].tolist(), strict=True):
+            if reset:
+                n, mean, m2, low, high = 0, 0.0, 0.0, float("inf"), float("-inf")
+            elif value is not None and value == value:
+                n += 1
+                away = value - mean
+                mean += away / n
+                m2 += away * (value - mean)
+                low, high = min(low, value), max(high, value)
+        state.update((n, mean, m2, low, high))
+        yield pd.DataFrame([(key[0], n, mean, (m2 / n) ** 0.5, low, high) if n else (key[0], 0, None, None, None, None)], columns=["series_id", "n", "mean", "std_dev", "min", "max"])
+
+    out = "series_id string, n long, mean double, std_dev double, min double, max double"
+    return stream.select("series_id", "ts", "value", "reset").groupBy("series_id").applyInPandasWithState(step, out, schema, "update", GroupStateTimeout.NoTimeout)

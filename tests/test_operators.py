@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from driftwood.functions.analyzers import ANALYZERS, analyze_batch
+from driftwood.functions.analyzers import ANALYZERS, Analyzer, InvalidParameter, analyze_batch
 from driftwood.operators import distributions as dist, geometry as geo, networks as net, numeric as num, order_statistics as order, windows as win
 from driftwood.sources.files import from_values
 
@@ -172,7 +172,7 @@ def test_analyzers_refuse_politely(spark):
     assert {r.status for (s, _), r in rows.items() if s == "nan"} == {"validation"}
     fine = rows["fine", "Chi-Squared Test"]
     assert fine.status == "ok" and "chi_squared" in fine.metrics and fine.interpretation.startswith("uniform") and rows["short", "Chi-Squared Test"].metrics is None
-    assert len(ANALYZERS) == 33
+    assert len(ANALYZERS) == 34
 
 
 def test_takens_embedding():
@@ -192,3 +192,84 @@ def test_takens_embedding():
             wrong += gap / d[j] > 3 or math.hypot(d[j], gap) / y.std() > 3
         assert num.false_neighbours(y, m, 2, 3.0, block=7) == pytest.approx(wrong / len(points))
     assert num.takens.rows(x[:500]) is None
+
+
+def test_parts_in_closed_form_are_those_of_the_eigenvalues():
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 12), 33, 64]:
+        for x in (rng.normal(size=n), np.ones(n), np.arange(n, dtype=float), np.r_[np.zeros(n // 2), rng.normal(size=n - n // 2)]):
+            want = num.entropy_of(num.eigenvalues(num.density(x, min(n, 2))))
+            assert abs(num.part_entropy(x) - want) < 1e-9, (n, x)
+
+
+def test_entanglement_and_divisions():
+    x = np.sin(0.3 * np.arange(40))
+    one = num.entanglement.rows(x, sizes=(10, 20))
+    assert [r["size"] for r in one] == [10, 20]
+    for r in one:
+        assert abs(r["mutual_information"] - (r["entropy_first"] + r["entropy_rest"] - r["entropy"])) < 1e-12
+        assert abs(r["conditional_entropy"] - (r["entropy"] - r["entropy_rest"])) < 1e-12
+    each = num.effective_information.rows(x)
+    phi = num.integrated_information.rows(x)
+    assert len(each) == 39 and abs(phi["phi"] - min(r["effective_information"] for r in each)) < 1e-9
+    assert phi["is_integrated"] != phi["is_reducible"] and num.entanglement.rows(x, sizes=(40,)) is None
+    assert num.density_checks.rows(x)["is_valid"] and len(num.density_matrix_entries.rows(x, dim=3)) == 9
+
+
+def test_centralities_against_plain_searches():
+    rng = np.random.default_rng(4)
+    for n in (5, 12, 20):
+        near = num.adjacency(rng.normal(size=n), "deviation")
+        steps = [num.hops(near, i) for i in range(n)]
+        assert np.allclose(num.closeness(near), [(d > 0).sum() / d[d > 0].sum() for d in steps])
+        assert (num.all_hops(near)[1] == np.array(steps)).all()
+        ways = np.zeros((n, n))
+        for s in range(n):  # shortest ways, counted from the source outwards
+            ways[s, s] = 1
+            for v in sorted(range(n), key=lambda v: steps[s][v]):
+                ways[s, v] += sum(ways[s, u] for u in near[v] if steps[s][u] == steps[s][v] - 1)
+        want = [sum(ways[s, v] * ways[v, t] / ways[s, t] for s in range(n) for t in range(n) if len({s, t, v}) == 3 and steps[s][v] + steps[v][t] == steps[s][t]) / ((n - 1) * (n - 2) / 2) for v in range(n)]
+        assert np.allclose(num.betweenness(near), want)
+        link = num.all_hops(near)[0]
+        top = np.abs(np.linalg.eigh(link)[1][:, -1])
+        assert n == 5 or np.allclose(num.eigenvector(near, rounds=5000, tolerance=1e-14), top, atol=1e-6)
+
+
+def test_betti_and_persistence_derived_values():
+    x = np.cos(0.2 * np.arange(70)) + np.sin(0.37 * np.arange(70))
+    curve, top = num.betti_curve.rows(x), num.betti_summary.rows(x)
+    best = max(r["b1"] for r in curve)
+    assert top["complexity"] == best and top["optimal_step"] == next(r["step"] for r in curve if r["b1"] == best)
+    assert top["trivial_scales"] == sum((r["b0"], r["b1"], r["b2"]) == (1, 0, 0) for r in curve)
+    points = num.planar(x, scaled=True)
+    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    for r in curve:  # components by flooding
+        left, parts = set(range(len(points))), 0
+        while left:
+            todo, parts = [left.pop()], parts + 1
+            while todo:
+                here = todo.pop()
+                new = {j for j in left if d[here, j] <= r["scale"]}
+                left -= new
+                todo += new
+        assert r["b0"] == parts
+    pairs, sums = num.persistence_pairs.rows(x, dim=1), num.persistence.rows(x)
+    assert sum(p["dimension"] == 0 for p in pairs) == sums["h0_features"] and sum(p["dimension"] == 1 for p in pairs) == sums["h1_features"]
+    assert abs(max(p["persistence"] for p in pairs) - sums["max_persistence"]) < 1e-9 and sum(p["is_significant"] for p in pairs) == sums["significant_features"]
+    assert all(p["persistence"] > 0.5 for p in num.persistence_pairs.rows(x, dim=1, least=0.5))
+
+
+def test_communities_add_up():
+    x = np.random.default_rng(1).normal(size=60)
+    sizes, told = num.community_sizes.rows(x), num.label_propagation.rows(x)
+    assert sum(r["size"] for r in sizes) == 60 and len(sizes) == told["communities"] and max(r["size"] for r in sizes) == told["largest"]
+
+
+def test_error_states(spark):
+    series = spark.createDataFrame([("s", i, 1.0) for i in range(200)], "series_id string, pos long, value double")
+    with pytest.raises(InvalidParameter, match="bins"):
+        ANALYZERS["chi_squared"].configured(no_such_bins=3)
+    with pytest.raises(InvalidParameter, match="0 or more"):
+        ANALYZERS["partition_balance"].configured(partitions=-1)
+    refused = Analyzer("Refuser", num.graph_paths, 2).analyze(series.where("pos < 3")).first()
+    assert refused.status == "analysis_failed" and refused.metrics is None

@@ -78,3 +78,24 @@ def test_streams(spark, tmp_path):
     assert (r.n, r.mean, r.min, r.max) == (100, 49.5, 0.0, 99.0)
     assert running.chi_squared_of(spark.table("hist"), 4).first().chi_squared == 0
     assert spark.table("win").count() == 2
+
+
+def test_rows_are_numbered_over_partitions(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("v\n" + "\n".join(map(str, range(5000))) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        rows = files.read_series_csv(spark, str(tmp_path / "long.csv")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.pos, r.value) for r in rows) == [(i, float(i)) for i in range(5000)]
+
+
+def test_a_reset_starts_anew(spark, tmp_path):
+    rows = [("s", i, float(i), i == 6) for i in range(10)] + [("t", 0, None, False), ("u", 1, 5.0, False)]
+    data = spark.createDataFrame(rows, "series_id string, ts long, value double, reset boolean")
+    data.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(data.schema).parquet(str(tmp_path / "in"))
+    running.resettable_statistics(stream).writeStream.outputMode("update").format("memory").queryName("since").trigger(availableNow=True).start().awaitTermination(60)
+    got = {r.series_id: r for r in spark.table("since").collect()}
+    assert (got["s"].n, got["s"].mean, got["s"].min, got["s"].max) == (3, 8.0, 7.0, 9.0) and abs(got["s"].std_dev - (2 / 3) ** 0.5) < 1e-12
+    assert got["t"].n == 0 and got["t"].mean is None and got["u"].mean == 5.0
