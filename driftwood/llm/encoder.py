@@ -11,7 +11,6 @@ Both public vocabularies start a new pre-token at each of these places, whatever
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 import os
@@ -21,14 +20,14 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-from driftwood.llm.shared import buffers, mix64, ranges
+from driftwood.llm.shared import buffers, held, mix64, ranges
 
 #: Distinct pieces that a worker remembers; beyond it starts anew.
 CACHE_PIECES = 800_000
 #: Longer pieces are encoded each time.
 CACHE_BYTES = 200
 #: Bytes of pieces beyond which the memory starts anew.
-CACHE_TEXT = 48 << 20
+CACHE_TEXT = 16 << 20
 
 #: One pre-token in both vocabularies, unchanged by NFC: these go to the merges directly.
 _WORD = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)")
@@ -249,10 +248,9 @@ class PieceEncoder(PieceCache):
         return ids, bounds[np.searchsorted(starts, offsets)]
 
 
-@functools.lru_cache(maxsize=4)
 def encoder(path: str) -> PieceEncoder:
-    """One for each vocabulary and worker."""
-    return PieceEncoder(path)
+    """The worker's encoder of a vocabulary."""
+    return held(("pieces", path), lambda: PieceEncoder(path))
 
 
 def vocabulary(name: str) -> str:

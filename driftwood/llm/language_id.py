@@ -319,15 +319,8 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAINING_DOCS, max_bytes: int = M
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
-_LABELLERS: dict[int, Labeller] = {}
-
-
 def _labeller(model: Model) -> Labeller:
-    key = zlib.crc32(model.emit.tobytes()) ^ hash(model.langs) & 0xFFFFFFFF
-    if key not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[key] = Labeller(model)
-    return _LABELLERS[key]
+    return shared.held(("labels", zlib.crc32(model.emit.tobytes()), model.langs), lambda: Labeller(model))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -15,7 +15,6 @@ byte pieces here so that decoding gives it back.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -281,9 +280,9 @@ class MergeDropout(encoder.PieceCache):
         return raw, ends[bounds]
 
 
-@functools.lru_cache(maxsize=2)
 def merges(path: str, dropout: float, seed: int) -> MergeDropout:
-    return MergeDropout(path, dropout, seed)
+    """The worker's segmenter of a vocabulary, rate and seed."""
+    return shared.held(("merges", path, dropout, seed), lambda: MergeDropout(path, dropout, seed))
 
 
 def _read(docs: DataFrame) -> DataFrame:
