@@ -162,9 +162,9 @@ class PieceCache:
         return out
 
     def _learned(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray, learn: Callable) -> np.ndarray:
-        data = raw.tobytes()
-        ids, counts = learn([data[a : a + n] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], keys)
-        return self._append(ids, counts, raw[ranges(starts, lengths)], lengths)
+        ids, counts = learn([raw[a : a + n].tobytes() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], keys)
+        sizes = np.where(lengths <= CACHE_BYTES, lengths, 0)  # the bytes of those that are learned each time aren't kept
+        return self._append(ids, counts, raw[ranges(starts, sizes)], sizes)
 
     def ids_of(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray, learn: Callable[[list[bytes], np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces one after another, and the n + 1 offsets of the pieces in them.
@@ -180,18 +180,25 @@ class PieceCache:
         """The number of each piece."""
         if self.count > CACHE_PIECES or len(self.text) > CACHE_TEXT:
             self._clear()
-        place = self.known.find(keys)
-        missing = np.flatnonzero(place < 0)
+        place = np.full(len(keys), -1)
+        long = np.flatnonzero(lengths > CACHE_BYTES)
+        if len(long):
+            place[long] = self._learned(raw, starts[long], lengths[long], keys[long], learn)
+        short = np.flatnonzero(lengths <= CACHE_BYTES)
+        starts, lengths, keys = starts[short], lengths[short], keys[short]
+        row = self.known.find(keys)
+        missing = np.flatnonzero(row < 0)
         if len(missing):
             new, first, where = np.unique(keys[missing], return_index=True, return_inverse=True)
             which = missing[first]
-            row = self._learned(raw, starts[which], lengths[which], new, learn)
-            place[missing] = row[where]
-            keep = (lengths[which] <= CACHE_BYTES) & (row < 3 * CACHE_PIECES)
-            self.known.add(new[keep], row[keep])
-        other = np.flatnonzero(~self._same(raw, starts, lengths, place)) if len(place) else place
+            mine = self._learned(raw, starts[which], lengths[which], new, learn)
+            row[missing] = mine[where]
+            keep = mine < 3 * CACHE_PIECES
+            self.known.add(new[keep], mine[keep])
+        other = np.flatnonzero(~self._same(raw, starts, lengths, row)) if len(row) else row
         if len(other):  # another piece has the same key
-            place[other] = self._learned(raw, starts[other], lengths[other], keys[other], learn)
+            row[other] = self._learned(raw, starts[other], lengths[other], keys[other], learn)
+        place[short] = row
         return place
 
 
