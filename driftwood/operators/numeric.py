@@ -538,13 +538,14 @@ def eigenvector(near: list[list[int]], rounds: int = 100, tolerance: float = 1e-
 
 
 @per_series("measure string, average double, variance double, centralization double")
-def centralities(x: np.ndarray, kind: str = "mean", most_betweenness: int = 200) -> list[dict] | None:
-    """A row for each of closeness, betweenness (only under `most_betweenness` nodes) and eigenvector centrality."""
+def centralities(x: np.ndarray, kind: str = "mean", most_betweenness: int = 200, measures: tuple[str, ...] = ("closeness", "eigenvector", "betweenness")) -> list[dict] | None:
+    """A row for each of the measures closeness, betweenness (only under `most_betweenness` nodes) and eigenvector centrality."""
     if len(x) < 5:
         return None
     near = adjacency(x, kind)
-    searched = all_hops(near) if len(near) <= DENSE else None  # for both
-    found = {"closeness": closeness(near, searched and searched[1]), "eigenvector": eigenvector(near)} | ({"betweenness": betweenness(near, searched)} if len(x) < most_betweenness else {})
+    searched = all_hops(near) if len(near) <= DENSE and {"closeness", "betweenness"} & {*measures} else None  # for both
+    of = {"closeness": lambda: closeness(near, searched and searched[1]), "eigenvector": lambda: eigenvector(near), "betweenness": lambda: betweenness(near, searched)}
+    found = {k: of[k]() for k in measures if k != "betweenness" or len(x) < most_betweenness}
     return [{"measure": k, "average": c.mean(), "variance": c.var(), "centralization": (c.max() - c).sum() / (len(c) - 1)} for k, c in found.items()]
 
 

@@ -134,14 +134,18 @@ ENTRIES: dict[str, Entry] = {
     "entanglement": Entry(num.entanglement, views.by_user, {}, twins.entanglement()),
     "kolmogorov_complexity": Entry(num.kolmogorov_complexity, views.by_user),
     "compression_distance": Entry(num.compression_distance, views.pairs_long),
-    "dfa_quadratic": Entry(num.dfa_polynomial, views.daily, {"order": 2}),
-    "dfa_cubic": Entry(num.dfa_polynomial, views.daily, {"order": 3}),
+    "dfa_quadratic": Entry(num.dfa_polynomial, views.daily, {"order": 2}, twins.dfa_polynomial(2)),
+    "dfa_cubic": Entry(num.dfa_polynomial, views.daily, {"order": 3}, twins.dfa_polynomial(3)),
     "takens": Entry(num.takens, views.daily),
-    "graph_paths": Entry(num.graph_paths, views.by_user),
+    "graph_paths": Entry(num.graph_paths, views.by_user, {}, twins.graph_paths(net.graph_edges.sql(DUCK, "src", kind="natural"))),
+    "centrality_closeness": Entry(num.centralities, views.by_user, {"measures": ("closeness",)}, twins.closeness(net.graph_edges.sql(DUCK, "src", kind="mean"))),
+    "centrality_betweenness": Entry(num.centralities, views.by_user, {"measures": ("betweenness",)}, twins.betweenness(net.graph_edges.sql(DUCK, "src", kind="mean"))),
     "centralities": Entry(num.centralities, views.by_user),
     "label_propagation": Entry(num.label_propagation, views.by_user),
+    "community_sizes": Entry(num.community_sizes, views.by_user),
     "small_world": Entry(num.small_world, views.by_user),
     "persistence": Entry(num.persistence, views.by_user),
+    "persistence_pairs": Entry(num.persistence_pairs, views.by_user),
     "betti_curve": Entry(num.betti_curve, views.by_user),
     "betti_summary": Entry(num.betti_summary, views.by_user),
     "dirichlet_credible": Entry(num.dirichlet_credible, views.categories),

@@ -123,6 +123,8 @@ def two_sided_normal(d: Spark, z: str) -> str:
 def joined(outer: str, text: str) -> str:
     """A query under further common table expressions."""
     text = text.strip()
+    if text.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {outer}, {text.removeprefix('WITH RECURSIVE ')}"
     return f"WITH {outer}, {text[4:].lstrip()}" if text[:5].upper().startswith("WITH") else f"WITH {outer} {text}"
 
 

@@ -130,3 +130,53 @@ def effective_information() -> str:
 
 def entanglement() -> str:
     return f"WITH {_divided()} SELECT series_id, cast(t AS int) AS size, {_r('whole')} AS entropy, {_r('first')} AS entropy_first, {_r('rest')} AS entropy_rest, {_r('first + rest - whole')} AS mutual_information, {_r('whole - rest')} AS conditional_entropy, abs(whole - first - rest) < 1e-6 AS is_separable FROM e WHERE t = n // 2"
+
+
+def dfa_polynomial(order: int) -> str:
+    """Residuals against the discrete orthogonal polynomials of a box's length, whose squared norms are known."""
+    z, norms = "(i - (box - 1) / 2e0)", ["box", "box * (box * box - 1e0) / 12", "box * (box * box - 1e0) * (box * box - 4) / 180", "box * (box * box - 1e0) * (box * box - 4) * (box * box - 9) / 2800"]
+    p = ["1", z, f"({z} * {z} - (box * box - 1e0) / 12)", f"({z} * {z} * {z} - {z} * (3e0 * box * box - 7) / 20)"]
+    parts = " ".join(f"- power(sum((y - c) * {p[k]}), 2) / max({norms[k]})" for k in range(order + 1))
+    return f"""WITH profile AS (SELECT series_id, pos, n, sum(value - mu) OVER (PARTITION BY series_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS y FROM (SELECT *, avg(value) OVER (PARTITION BY series_id) AS mu, count(*) OVER (PARTITION BY series_id) AS n FROM src) s WHERE n >= 100),
+sizes AS (SELECT DISTINCT series_id, n, cast(floor(exp(ln(4) + i * (ln(n // 4) - ln(4)) / 19) + 0.5) AS int) AS box FROM (SELECT DISTINCT series_id, n FROM profile) q, range(0, 20) r(i)),
+boxes AS (SELECT * FROM sizes WHERE box > {order + 1} AND box <= n // 4),
+members AS (SELECT series_id, box, pos // box AS part, pos % box AS i, y FROM profile JOIN boxes USING (series_id, n) WHERE pos // box < n // box
+  UNION ALL SELECT series_id, box, -1, pos - (n - box), y FROM profile JOIN boxes USING (series_id, n) WHERE pos >= n - box AND n % box >= box // 2),
+centred AS (SELECT *, avg(y) OVER (PARTITION BY series_id, box, part) AS c FROM members),
+rest AS (SELECT series_id, box, greatest(0, sum((y - c) * (y - c)) {parts}) AS ssr FROM centred GROUP BY series_id, box, part),
+f AS (SELECT series_id, box, ln(sqrt(avg(ssr)) + 1e-300) AS f, ln(sqrt(avg(ssr) / box) + 1e-300) AS g, row_number() OVER (PARTITION BY series_id ORDER BY box) AS rank FROM rest GROUP BY series_id, box)
+SELECT series_id, cast(count(*) AS int) AS boxes, {_r('regr_slope(f, rank)')} AS hurst_exponent, {_r('regr_r2(f, rank)')} AS r_squared, {_r('regr_slope(g, ln(box))')} AS hurst_std FROM f GROUP BY series_id"""
+
+
+def _search(edges: str) -> str:
+    """steps (series_id, n, source, k, front): the nodes that a search from each node first meets after k steps; seen holds all so far."""
+    return f"""pairs AS ({edges}), links AS (SELECT series_id, e.src AS i, e.dst AS j FROM pairs e UNION ALL SELECT series_id, e.dst, e.src FROM pairs e),
+around AS (SELECT s.series_id, s.pos, list(j) FILTER (j IS NOT NULL) AS near FROM src s LEFT JOIN links l ON l.series_id = s.series_id AND l.i = s.pos GROUP BY s.series_id, s.pos),
+graph AS (SELECT series_id, count(*) AS n, list(coalesce(near, []) ORDER BY pos) AS near FROM around GROUP BY series_id HAVING count(*) >= 5),
+steps AS (SELECT series_id, n, pos AS source, 0 AS k, [pos] AS front, [pos] AS seen FROM src JOIN graph USING (series_id)
+  UNION ALL SELECT series_id, n, source, k + 1, new, list_concat(seen, new) FROM (SELECT s.*, list_filter(list_distinct(flatten(list_transform(front, lambda v: near[v + 1]))), lambda v: NOT list_contains(seen, v)) AS new FROM steps s JOIN graph g USING (series_id)) t WHERE len(new) > 0)"""
+
+
+def graph_paths(edges: str) -> str:
+    return f"""WITH RECURSIVE {_search(edges)}, whole AS (SELECT series_id, source, max_by(list_min(seen), k) AS least FROM steps GROUP BY series_id, source),
+parts AS (SELECT series_id, count(*) AS parts FROM whole WHERE least = source GROUP BY series_id),
+s AS (SELECT series_id, n, max(k) AS k, sum(k * len(front)) / nullif(sum(CASE WHEN k > 0 THEN len(front) END), 0) AS mean FROM steps GROUP BY series_id, n)
+SELECT series_id, cast(n AS bigint) AS nodes, CASE WHEN n < 1000 THEN cast(k AS int) END AS diameter, {_r('coalesce(mean, 0)')} AS average_path_length, cast(parts AS int) AS components FROM s JOIN parts USING (series_id)"""
+
+
+_SPREAD = f"avg(c) AS a, var_pop(c) AS v, (max(c) * count(*) - sum(c)) / (count(*) - 1) AS z FROM c GROUP BY series_id) SELECT series_id, '{{0}}' AS measure, {_r('a')} AS average, {_r('v')} AS variance, {_r('z')} AS centralization FROM s"
+
+
+def closeness(edges: str) -> str:
+    return f"""WITH RECURSIVE {_search(edges)}, c AS (SELECT series_id, source, coalesce(sum(CASE WHEN k > 0 THEN len(front) END) / sum(CASE WHEN k > 0 THEN k * len(front) END), 0) AS c FROM steps GROUP BY series_id, source),
+s AS (SELECT series_id, {_SPREAD.format('closeness')}"""
+
+
+def betweenness(edges: str) -> str:
+    """By its definition: over all ordered pairs, the share of shortest ways that pass a node."""
+    return f"""WITH RECURSIVE {_search(edges)}, far AS (SELECT series_id, n, source, unnest(front) AS node, k FROM steps WHERE n < 200),
+ways AS (SELECT series_id, source, node, 0 AS k, 1e0 AS ways FROM far WHERE k = 0
+  UNION ALL SELECT w.series_id, w.source, f.node, f.k, sum(w.ways) FROM ways w JOIN links l ON l.series_id = w.series_id AND l.i = w.node JOIN far f ON f.series_id = w.series_id AND f.source = w.source AND f.node = l.j AND f.k = w.k + 1 GROUP BY w.series_id, w.source, f.node, f.k),
+through AS (SELECT a.series_id, a.node, sum(a.ways * b.ways / t.ways) AS share FROM ways a JOIN ways b ON b.series_id = a.series_id AND b.source = a.node AND a.k > 0 AND b.k > 0 JOIN ways t ON t.series_id = a.series_id AND t.source = a.source AND t.node = b.node AND t.k = a.k + b.k GROUP BY a.series_id, a.node),
+c AS (SELECT f.series_id, f.node, coalesce(share, 0) / ((n - 1) * (n - 2) / 2) AS c FROM far f LEFT JOIN through t ON t.series_id = f.series_id AND t.node = f.node WHERE f.k = 0),
+s AS (SELECT series_id, {_SPREAD.format('betweenness')}"""
