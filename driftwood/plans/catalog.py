@@ -146,8 +146,8 @@ ENTRIES: dict[str, Entry] = {
     "small_world": Entry(num.small_world, views.by_user),
     "persistence": Entry(num.persistence, views.by_user),
     "persistence_pairs": Entry(num.persistence_pairs, views.by_user),
-    "betti_curve": Entry(num.betti_curve, views.by_user),
-    "betti_summary": Entry(num.betti_summary, views.by_user),
+    "betti_curve": Entry(num.betti_curve, views.by_user, {}, twins.betti_curve()),
+    "betti_summary": Entry(num.betti_summary, views.by_user, {}, twins.betti_summary()),
     "dirichlet_credible": Entry(num.dirichlet_credible, views.categories),
     "metropolis_hastings": Entry(num.metropolis_hastings, views.by_type),
 }

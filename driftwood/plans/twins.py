@@ -180,3 +180,30 @@ ways AS (SELECT series_id, source, node, 0 AS k, 1e0 AS ways FROM far WHERE k =
 through AS (SELECT a.series_id, a.node, sum(a.ways * b.ways / t.ways) AS share FROM ways a JOIN ways b ON b.series_id = a.series_id AND b.source = a.node AND a.k > 0 AND b.k > 0 JOIN ways t ON t.series_id = a.series_id AND t.source = a.source AND t.node = b.node AND t.k = a.k + b.k GROUP BY a.series_id, a.node),
 c AS (SELECT f.series_id, f.node, coalesce(share, 0) / ((n - 1) * (n - 2) / 2) AS c FROM far f LEFT JOIN through t ON t.series_id = f.series_id AND t.node = f.node WHERE f.k = 0),
 s AS (SELECT series_id, {_SPREAD.format('betweenness')}"""
+
+
+def _betti(scales: int = 20) -> str:
+    """curve: of each scale the components, found by a search that begins anew in the first node left, and the edges."""
+    scaled = lambda c: f"CASE WHEN max({c}) OVER w - min({c}) OVER w > 1e-10 THEN ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) ELSE {c} END"
+    return f"""len AS (SELECT series_id, count(*) AS len, greatest(1, count(*) // 10) AS tau FROM src GROUP BY series_id HAVING count(*) >= 30),
+points AS (SELECT a.series_id, a.pos, len - tau AS n, a.value AS x, b.value AS y FROM src a JOIN len l ON l.series_id = a.series_id JOIN src b ON b.series_id = a.series_id AND b.pos = a.pos + tau),
+p AS (SELECT series_id, pos, n, {scaled('x')} AS x, {scaled('y')} AS y FROM points WINDOW w AS (PARTITION BY series_id)),
+d AS (SELECT a.series_id, a.n, a.pos AS i, b.pos AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON b.series_id = a.series_id AND a.pos <> b.pos),
+e AS (SELECT series_id, n, k, (k + 1) / {scales} * 0.75e0 * max(d) AS eps FROM d, range(0, {scales}) r(k) GROUP BY series_id, n, k),
+around AS (SELECT e.series_id, e.n, k, eps, i, list(j) FILTER (d <= eps) AS near, count(*) FILTER (d <= eps) AS many FROM e JOIN d ON d.series_id = e.series_id GROUP BY e.series_id, e.n, k, eps, i),
+graph AS (SELECT series_id, n, k, eps, sum(many) / 2 AS edges, list(coalesce(near, []) ORDER BY i) AS near FROM around GROUP BY series_id, n, k, eps),
+search AS (SELECT series_id, k, 1 AS b0, [0] AS front, range(1, n) AS rest FROM graph
+  UNION ALL SELECT series_id, k, CASE WHEN len(new) = 0 THEN b0 + 1 ELSE b0 END, CASE WHEN len(new) = 0 THEN [rest[1]] ELSE new END, CASE WHEN len(new) = 0 THEN rest[2:] ELSE list_filter(rest, lambda v: NOT list_contains(new, v)) END
+    FROM (SELECT s.*, list_filter(list_distinct(flatten(list_transform(front, lambda v: near[v + 1]))), lambda v: list_contains(rest, v)) AS new FROM search s JOIN graph g ON g.series_id = s.series_id AND g.k = s.k WHERE len(rest) > 0) t),
+parts AS (SELECT series_id, k, max(b0) AS b0 FROM search GROUP BY series_id, k),
+curve AS (SELECT g.series_id, g.k, eps, b0, CASE WHEN edges >= n THEN edges - n + b0 ELSE 0 END AS b1 FROM graph g JOIN parts t ON t.series_id = g.series_id AND t.k = g.k)"""
+
+
+def betti_curve() -> str:
+    return f"WITH RECURSIVE {_betti()} SELECT series_id, cast(k AS int) AS step, {_r('eps')} AS scale, cast(b0 AS int) AS b0, cast(b1 AS int) AS b1, cast(0 AS int) AS b2, cast(b0 - b1 AS int) AS euler, cast(b0 + b1 AS int) AS total_features FROM curve"
+
+
+def betti_summary() -> str:
+    return f"""WITH RECURSIVE {_betti()}, top AS (SELECT series_id, k AS step, eps, b0, b1 FROM curve QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY b1 DESC, k) = 1),
+means AS (SELECT series_id, avg(b0) AS a0, avg(b1) AS a1, count(*) FILTER (b0 = 1 AND b1 = 0) AS trivial FROM curve GROUP BY series_id)
+SELECT t.series_id, cast(step AS int) AS optimal_step, {_r('eps')} AS optimal_scale, cast(b0 AS int) AS b0, cast(b1 AS int) AS b1, cast(b0 - b1 AS int) AS euler, {_r('cast(b1 AS double)')} AS complexity, {_r('a0')} AS avg_b0, {_r('a1')} AS avg_b1, cast(trivial AS int) AS trivial_scales FROM top t JOIN means m ON m.series_id = t.series_id"""
