@@ -37,6 +37,8 @@ TABLE_BITS = 15
 STEPS = 12
 #: Distinct words whose emissions a worker remembers.
 CACHE_WORDS = 600_000
+#: Bytes of text that a task labels at a time: the messages of its words take some tens of times as much.
+LABEL_BYTES = 1 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -335,9 +337,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _labeller(sent.value)
-        for part in shared.slices(batches):
+        for part in shared.slices(batches, limit=LABEL_BYTES):
             langs, scores = labeller.documents(part.column("text"))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[*part.schema.names, "lang_pred", "score"])
+        shared.give_back()
 
     schema = type(docs.schema)(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double")
     return docs.mapInArrow(task, schema)

@@ -175,6 +175,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             take = pa.array(where, mask=where < 0)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * BANDS, pa.int32()), pa.array(band_keys(mins).ravel()))
             yield pa.record_batch([part.column("doc_id"), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), _binary(pack_bits(mins)).take(take), keys.take(take)], names=["doc_id", "n_shingles", "s1", "s2", "packed", "keys"])
+        shared.give_back()
 
     return _read(docs).mapInArrow(task, "doc_id long, n_shingles long, s1 long, s2 long, packed binary, keys array<long>")
 
@@ -198,6 +199,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for part in shared.slices([batch.filter(pa.array(hit))]):
                 values, bounds = shingles(part.column("text"), words)
                 yield pa.record_batch([part.column("doc_id"), pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])], names=["doc_id", "set"])
+        shared.give_back()
 
     read = _read(docs).where("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
     sets = read.mapInArrow(task, "doc_id long, set binary")
