@@ -112,7 +112,7 @@ ENTRIES: dict[str, Entry] = {
     "draw_range": Entry(draws.draw_range, views.draws),
     "draw_galois": Entry(draws.draw_galois, views.draws),
     "draw_multifractal": Entry(draws.draw_multifractal, views.draws),
-    "draw_chaos": Entry(draws.draw_chaos, views.draws),
+    "draw_chaos": Entry(draws.draw_chaos, views.draws, {}, draws.draw_chaos_pairs.sql(DUCK, "src")),
     "draw_normalization": Entry(draws.draw_normalization, views.draws),
     "draw_candidates": Entry(draws.draw_candidates, views.draws),
     "draw_critical_path": Entry(draws.critical_path, views.draws),

@@ -1,12 +1,13 @@
 """Operators on small series with known values."""
 
 import math
+import time
 
 import numpy as np
 import pytest
 
 from driftwood.functions.analyzers import ANALYZERS, Analyzer, InvalidParameter, analyze_batch
-from driftwood.operators import distributions as dist, geometry as geo, networks as net, numeric as num, order_statistics as order, windows as win
+from driftwood.operators import distributions as dist, draws, geometry as geo, networks as net, numeric as num, order_statistics as order, windows as win
 from driftwood.sources.files import from_values
 
 
@@ -273,3 +274,44 @@ def test_error_states(spark):
         ANALYZERS["partition_balance"].configured(partitions=-1)
     refused = Analyzer("Refuser", num.graph_paths, 2).analyze(series.where("pos < 3")).first()
     assert refused.status == "analysis_failed" and refused.metrics is None
+
+
+def drawn(spark, sums):
+    """Draws of two numbers with the given sums, by series."""
+    rows = [(s, pos, n) for s, totals in sums.items() for pos, total in enumerate(totals) for n in (total // 2, total - total // 2)]
+    return spark.createDataFrame(rows, "series_id string, pos long, number int")
+
+
+def test_draw_chaos_without_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    for span, n in ((1, 40), (2, 90), (20, 500)):
+        points = rng.integers(0, span, (n, 3))
+        cells, counts = np.unique(points, axis=0, return_counts=True)
+        far = ((points[:, None] - points) ** 2).sum(axis=2)[np.triu_indices(n, 1)]
+        found = draws.grid_distances(cells, counts)
+        assert found.tolist() == np.bincount(far, minlength=len(found)).tolist()
+    # one series on a grid, one with means that lie close and come back late, one of uneven draws, one with a single mean, and one too short
+    sums = {"grid": rng.integers(2, 30, 300).tolist(), "few": [4, 9] * 2 + [4] * 30 + [9, 10, 17] * 20, "same": [6] * 60, "short": [4, 9, 5]}
+    uneven = [("uneven", pos, int(n)) for pos in range(150) for n in rng.integers(1, 51, rng.integers(1, 7))]
+    series = drawn(spark, sums).union(spark.createDataFrame(uneven, "series_id string, pos long, number int"))
+    want = sorted(map(tuple, draws.draw_chaos_pairs(series).collect()))
+    assert {r[0] for r in want} >= {"grid", "few", "uneven"}
+    assert sorted(map(tuple, draws.draw_chaos(series).collect())) == want
+    monkeypatch.setattr(draws, "GRID_DRAWS", 50)
+    assert sorted(map(tuple, draws.draw_chaos(series).collect())) == want
+
+
+def test_draw_chaos_of_many_draws(spark):
+    totals = np.random.default_rng(6).integers(2, 25, 60_000)
+    started = time.monotonic()
+    got = one(draws.draw_chaos(drawn(spark, {"s": totals.tolist()})))
+    assert time.monotonic() - started < 120  # all pairs are 5.4 billion
+    points, counts = np.unique(np.stack([totals[:-2], totals[1:-1], totals[2:]], axis=1), axis=0, return_counts=True)
+    pairs = np.zeros(3 * 22**2 + 1, np.int64)
+    for k, point in enumerate(points):
+        pairs += np.bincount(((points - point) ** 2).sum(axis=1), counts[k] * counts, len(pairs)).astype(np.int64)
+    pairs[0] -= counts.sum()
+    r, pairs = np.round(np.sqrt(np.flatnonzero(pairs)) / 2, 9), pairs[pairs > 0] // 2
+    median = r[np.flatnonzero(pairs.cumsum() > pairs.sum() // 2)[0]]
+    nearer = [pairs[r < scale * median].sum() for scale in (0.5, 1, 2)]
+    assert got.correlation_dimension == pytest.approx(np.polyfit(np.log([0.5, 1, 2]), np.log(nearer), 1)[0], abs=1e-4)
