@@ -441,7 +441,9 @@ def band(x: np.ndarray, limit: float, far: int = 10) -> list[list[int]]:
 def adjacency(x: np.ndarray, kind: str) -> list[list[int]]:
     if kind in ("natural", "horizontal"):
         return visibility(x, kind == "horizontal")
-    return band(x, 0.5 * (np.abs(x).mean() if kind == "mean" else x.std()))
+    if kind == "mean":  # summed in order, as SQL sums: differences may equal the limit
+        return band(x, 0.5 * (np.abs(x).cumsum()[-1] / len(x)))
+    return band(x, 0.5 * x.std())
 
 
 def hops(near: list[list[int]], source: int) -> np.ndarray:

@@ -8,6 +8,8 @@ import pytest
 
 from driftwood.functions.analyzers import ANALYZERS, Analyzer, InvalidParameter, analyze_batch
 from driftwood.operators import distributions as dist, draws, geometry as geo, networks as net, numeric as num, order_statistics as order, windows as win
+from driftwood.plans import catalog
+from driftwood.plans.dialect import DUCK, joined
 from driftwood.sources.files import from_values
 
 
@@ -315,3 +317,23 @@ def test_draw_chaos_of_many_draws(spark):
     median = r[np.flatnonzero(pairs.cumsum() > pairs.sum() // 2)[0]]
     nearer = [pairs[r < scale * median].sum() for scale in (0.5, 1, 2)]
     assert got.correlation_dimension == pytest.approx(np.polyfit(np.log([0.5, 1, 2]), np.log(nearer), 1)[0], abs=1e-4)
+
+
+#: Values 3 and 9 differ by just half the mean; in order of position the sum makes them an edge, in reverse or by pairs it does not.
+TIED = [24.41, 7.9, 23.85, 24.86, 2.93, 28.18, 13.92, 26.72, 28.37, 15.35, 7.07, 24.68]
+
+
+def of_tied(name):
+    """The rows of a catalog query's twin over the tied values."""
+    import duckdb
+
+    text = catalog.ENTRIES[name].text or catalog.ENTRIES[name].operator.sql(DUCK, "src")
+    values = ", ".join(f"('series', {i}, {v}e0)" for i, v in enumerate(TIED))
+    return duckdb.sql(joined(f"src(series_id, pos, value) AS (VALUES {values})", text)).fetchall()
+
+
+def test_betweenness_sums_the_limit_in_order(spark):
+    assert 9 in num.adjacency(np.array(TIED), "mean")[3]
+    got = [tuple(r) for r in num.centralities(from_values(spark, TIED), measures=("betweenness",)).collect()]
+    want = of_tied("centrality_betweenness")
+    assert [r[:2] for r in got] == [r[:2] for r in want] and got[0][2:] == pytest.approx(want[0][2:], abs=1e-9)
