@@ -14,15 +14,23 @@ def _visible(d: Spark, s: str, horizontal: bool) -> str:
 edges AS (SELECT series_id, src, dst FROM pairs WHERE {sees})"""
 
 
-def _band(d: Spark, s: str, spread: str) -> str:
-    """edges: neighbours in time, and places 2 to 9 apart whose values differ by less than half the spread."""
-    return f"""nodes AS (SELECT series_id, pos AS id FROM {s}), lim AS (SELECT series_id AS sid, 0.5e0 * {spread} AS lim FROM {s} GROUP BY series_id), reach AS (SELECT series_id, pos, value, {d.seq('1', '9')} AS step FROM {s}),
+def _band(d: Spark, s: str, spread: str, over: str | None = None) -> str:
+    """edges: neighbours in time, and places 2 to 9 apart whose values differ by less than half the spread (over another input)."""
+    return f"""nodes AS (SELECT series_id, pos AS id FROM {s}), lim AS (SELECT series_id AS sid, 0.5e0 * {spread} AS lim FROM {over or s} GROUP BY series_id), reach AS (SELECT series_id, pos, value, {d.seq('1', '9')} AS step FROM {s}),
 edges AS (SELECT a.series_id, a.pos AS src, b.pos AS dst FROM reach a JOIN lim ON sid = a.series_id JOIN {s} b ON b.series_id = a.series_id AND b.pos = a.pos + step WHERE step = 1 OR abs(a.value - b.value) < lim)"""
 
 
+def _mean_band(d: Spark, s: str) -> str:
+    """Differences may equal the limit, so the mean is of a sum in order of position, as DuckDB sums; Spark alone would sum in any."""
+    if d.name != "spark":
+        return _band(d, s, "avg(abs(value))")
+    summed = f"(SELECT series_id, pos, value, sum(abs(value)) OVER (PARTITION BY series_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS total FROM {s})"
+    return _band(d, s, "(max_by(total, pos) / nullif(count(value), 0))", summed)
+
+
 def graph(d: Spark, s: str, kind: str) -> str:
     """nodes and edges of a graph: natural, horizontal, mean (band by mean |value|) or deviation (band by standard deviation)."""
-    return {"natural": lambda: _visible(d, s, False), "horizontal": lambda: _visible(d, s, True), "mean": lambda: _band(d, s, "avg(abs(value))"), "deviation": lambda: _band(d, s, "stddev_pop(value)")}[kind]()
+    return {"natural": lambda: _visible(d, s, False), "horizontal": lambda: _visible(d, s, True), "mean": lambda: _mean_band(d, s), "deviation": lambda: _band(d, s, "stddev_pop(value)")}[kind]()
 
 
 _DEGREES = """ends AS (SELECT series_id, src AS id, dst AS other FROM edges UNION ALL SELECT series_id, dst, src FROM edges),

@@ -337,3 +337,11 @@ def test_betweenness_sums_the_limit_in_order(spark):
     got = [tuple(r) for r in num.centralities(from_values(spark, TIED), measures=("betweenness",)).collect()]
     want = of_tied("centrality_betweenness")
     assert [r[:2] for r in got] == [r[:2] for r in want] and got[0][2:] == pytest.approx(want[0][2:], abs=1e-9)
+
+
+def test_top_nodes_sum_the_limit_in_order(spark):
+    backwards = spark.createDataFrame([("series", i, v) for i, v in reversed([*enumerate(TIED)])], "series_id string, pos long, value double").coalesce(1)
+    want = sorted(of_tied("top_nodes"))
+    assert sorted(map(tuple, net.top_nodes(backwards).collect())) == want
+    gap = spark.createDataFrame([("s", 0, None), ("s", 1, 2.0), ("s", 2, None), ("t", 0, None)], "series_id string, pos long, value double")
+    assert {tuple(r) for r in net.graph_edges(gap, kind="mean").collect()} == {("s", 0, 1), ("s", 1, 2)}
