@@ -508,17 +508,79 @@ def closeness(near: list[list[int]], steps: np.ndarray | None = None) -> np.ndar
     return np.array([(d > 0).sum() / d[d > 0].sum() if (d > 0).any() else 0.0 for d in rows])
 
 
-def betweenness(near: list[list[int]], searched: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+#: Up to this size betweenness takes over the search of closeness; in larger graphs a sparse search of its own is faster.
+SHARED = 100
+
+#: Counts of shortest ways above two to this power are kept as a number and a multiple of it: they outgrow doubles in long series.
+LIFT = 512
+
+
+def _levels(ends: np.ndarray, first: np.ndarray, size: np.ndarray, sources: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Searches from some nodes at once. For each step the (source, node) cells first met, their numbers of shortest ways by count
+    and lift, and the edges to cells of the next step, as places in both."""
+    n, out = len(size), []
+    met, place = np.zeros(len(sources) * n, bool), np.zeros(len(sources) * n, int)
+    front, ways, lift = np.arange(len(sources)) * n + sources, np.ones(len(sources)), np.zeros(len(sources), int)
+    met[front] = True
+    while len(front):
+        node = front % n
+        many = size[node]
+        owner = np.repeat(np.arange(len(front)), many)
+        to = ends[np.arange(len(owner)) + (first[node] - many.cumsum() + many)[owner]] + (front - node)[owner]
+        new = np.flatnonzero(~met[to])
+        owner, to = owner[new], to[new]
+        place[to] = np.arange(len(to))
+        behind = to[place[to] == np.arange(len(to))]  # each cell once
+        met[behind] = True
+        place[behind] = np.arange(len(behind))
+        to = place[to]
+        out.append((front, ways, lift, owner, to))
+        got, above = ways[owner], np.zeros(len(behind), int)
+        if lift.any():
+            np.maximum.at(above, to, lift[owner])
+            got = np.ldexp(got, LIFT * np.maximum(lift[owner] - above[to], -4))
+        ways = np.bincount(to, got, len(behind))
+        high = ways > 2.0**LIFT
+        front, ways, lift = behind, np.where(high, ways * 2.0**-LIFT, ways), above + high
+    return out
+
+
+def _passed(near: list[list[int]], edges: int) -> np.ndarray:
+    """Shares of shortest ways through each node, gathered from the farthest nodes inwards; so many sources at once that they have
+    about that many edges, so memory is linear in the graph."""
+    n, size = len(near), np.array([len(a) for a in near])
+    ends, first = np.concatenate([*map(np.asarray, near), np.zeros(0)]).astype(int), size.cumsum() - size
+    out, width = np.zeros(n), max(1, edges // (n + len(ends) + 1))
+    for low in range(0, n, width):
+        sources = np.arange(low, min(n, low + width))
+        shares = np.zeros(len(sources) * n)
+        later = later_lift = np.zeros(0, int)  # of the step behind: 1 and its share, by its ways
+        for front, ways, lift, owner, to in reversed(_levels(ends, first, size, sources)[1:]):
+            got = later[to]
+            if later_lift.any():
+                got = np.ldexp(got, LIFT * np.maximum(lift[owner] - later_lift[to], -4))
+            share = ways * np.bincount(owner, got, len(front))
+            shares[front] = share
+            later, later_lift = (1 + share) / ways, lift
+        out += shares.reshape(-1, n).sum(axis=0)
+    return out
+
+
+def betweenness(near: list[list[int]], searched: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, edges: int = 1 << 23) -> np.ndarray:
     """Shares of shortest ways through each node over ordered pairs, by (n - 1)(n - 2) / 2: twice the undirected standard, as the
-    reference results are. Shares are gathered from the farthest nodes inwards, for all sources at once."""
+    reference results are. Of a graph searched already, shares are gathered for all sources at once, else for some at a time."""
     n = len(near)
-    link, steps, ways = searched or all_hops(near)
-    share = np.zeros((n, n))  # of source and node
-    for k in range(int(steps.max()), 0, -1):
-        at = steps == k
-        share += ways * (steps == k - 1) * (np.where(at, (1 + share) / np.where(at, ways, 1), 0) @ link)
-    np.fill_diagonal(share, 0)
-    return share.sum(axis=0) / ((n - 1) * (n - 2) / 2) if n > 2 else share.sum(axis=0)
+    if searched:
+        link, steps, ways = searched
+        share = np.zeros((n, n))  # of source and node
+        for k in range(int(steps.max()), 0, -1):
+            at = steps == k
+            share += ways * (steps == k - 1) * (np.where(at, (1 + share) / np.where(at, ways, 1), 0) @ link)
+        np.fill_diagonal(share, 0)
+        out = share.sum(axis=0)
+    else:
+        out = _passed(near, edges)
+    return out / ((n - 1) * (n - 2) / 2) if n > 2 else out
 
 
 def eigenvector(near: list[list[int]], rounds: int = 100, tolerance: float = 1e-6) -> np.ndarray:
@@ -540,14 +602,15 @@ def eigenvector(near: list[list[int]], rounds: int = 100, tolerance: float = 1e-
 
 
 @per_series("measure string, average double, variance double, centralization double")
-def centralities(x: np.ndarray, kind: str = "mean", most_betweenness: int = 200, measures: tuple[str, ...] = ("closeness", "eigenvector", "betweenness")) -> list[dict] | None:
-    """A row for each of the measures closeness, betweenness (only under `most_betweenness` nodes) and eigenvector centrality."""
+def centralities(x: np.ndarray, kind: str = "mean", measures: tuple[str, ...] = ("closeness", "eigenvector", "betweenness")) -> list[dict] | None:
+    """A row for each of the measures closeness, betweenness and eigenvector centrality, at any number of nodes."""
     if len(x) < 5:
         return None
     near = adjacency(x, kind)
-    searched = all_hops(near) if len(near) <= DENSE and {"closeness", "betweenness"} & {*measures} else None  # for both
-    of = {"closeness": lambda: closeness(near, searched and searched[1]), "eigenvector": lambda: eigenvector(near), "betweenness": lambda: betweenness(near, searched)}
-    found = {k: of[k]() for k in measures if k != "betweenness" or len(x) < most_betweenness}
+    searched = all_hops(near) if len(near) <= DENSE and "closeness" in measures else None
+    shared = searched if len(near) <= SHARED else None
+    of = {"closeness": lambda: closeness(near, searched and searched[1]), "eigenvector": lambda: eigenvector(near), "betweenness": lambda: betweenness(near, shared)}
+    found = {k: of[k]() for k in measures}
     return [{"measure": k, "average": c.mean(), "variance": c.var(), "centralization": (c.max() - c).sum() / (len(c) - 1)} for k, c in found.items()]
 
 

@@ -174,7 +174,7 @@ s AS (SELECT series_id, {_SPREAD.format('closeness')}"""
 
 def betweenness(edges: str) -> str:
     """By its definition: over all ordered pairs, the share of shortest ways that pass a node."""
-    return f"""WITH RECURSIVE {_search(edges)}, far AS (SELECT series_id, n, source, unnest(front) AS node, k FROM steps WHERE n < 200),
+    return f"""WITH RECURSIVE {_search(edges)}, far AS (SELECT series_id, n, source, unnest(front) AS node, k FROM steps),
 ways AS (SELECT series_id, source, node, 0 AS k, 1e0 AS ways FROM far WHERE k = 0
   UNION ALL SELECT w.series_id, w.source, f.node, f.k, sum(w.ways) FROM ways w JOIN links l ON l.series_id = w.series_id AND l.i = w.node JOIN far f ON f.series_id = w.series_id AND f.source = w.source AND f.node = l.j AND f.k = w.k + 1 GROUP BY w.series_id, w.source, f.node, f.k),
 through AS (SELECT a.series_id, a.node, sum(a.ways * b.ways / t.ways) AS share FROM ways a JOIN ways b ON b.series_id = a.series_id AND b.source = a.node AND a.k > 0 AND b.k > 0 JOIN ways t ON t.series_id = a.series_id AND t.source = a.source AND t.node = b.node AND t.k = a.k + b.k GROUP BY a.series_id, a.node),

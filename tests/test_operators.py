@@ -345,3 +345,31 @@ def test_top_nodes_sum_the_limit_in_order(spark):
     assert sorted(map(tuple, net.top_nodes(backwards).collect())) == want
     gap = spark.createDataFrame([("s", 0, None), ("s", 1, 2.0), ("s", 2, None), ("t", 0, None)], "series_id string, pos long, value double")
     assert {tuple(r) for r in net.graph_edges(gap, kind="mean").collect()} == {("s", 0, 1), ("s", 1, 2)}
+
+
+def test_betweenness_of_long_series(spark):
+    import duckdb
+
+    values = [round(30 + 20 * math.sin(1.7 * i) + i % 11, 2) for i in range(210)]
+    got = [tuple(r) for r in num.centralities(from_values(spark, values), measures=("betweenness",)).collect()]
+    rows = ", ".join(f"('series', {i}, {v}e0)" for i, v in enumerate(values))
+    want = duckdb.sql(joined(f"src(series_id, pos, value) AS (VALUES {rows})", catalog.ENTRIES["centrality_betweenness"].text)).fetchall()
+    assert [r[:2] for r in got] == [r[:2] for r in want] == [("series", "betweenness")] and got[0][2:] == pytest.approx(want[0][2:], abs=1e-9)
+    near = num.adjacency(np.array(values), "mean")
+    whole = num.betweenness(near, num.all_hops(near))
+    assert np.allclose(num.betweenness(near), whole) and np.allclose(num.betweenness(near, edges=5000), whole)  # two nodes at a time
+
+
+def test_betweenness_where_ways_outgrow_doubles():
+    loops = 1100  # a chain of squares: ways double with each
+    n = 3 * loops + 1
+    near = [[] for _ in range(n)]
+    for i in range(0, n - 1, 3):
+        for a, b in ((i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3)):
+            near[a].append(b)
+            near[b].append(a)
+    left = np.arange(n) // 3 * 3  # nodes before the square's first corner
+    want = np.where(np.arange(n) % 3 == 0, 2.0 * left * (n - 1 - left) + 2, (left + 1.0) * (n - 3 - left))
+    want[[0, -1]] = 1, 1  # end corners: only between the two sides of their square
+    got = num.betweenness(near)
+    assert got == pytest.approx(want / ((n - 1) * (n - 2) / 2), rel=1e-9)
